@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,19 +33,19 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small(df: DataFrame, bytes_per_row: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df, marked for broadcast if its counted rows fit into the limit; else as it is, for a shuffled join. df should be settled."""
-    fits = df.count() * bytes_per_row <= limit
-    return F.broadcast(df) if fits else df
-
-
-def in_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, barrier: bool = False) -> DataFrame:
-    return df.mapInArrow(work, schema, barrier)
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcast if it is measured to fit into the limit; else as it is, for a shuffled join. df should be settled."""
+    width = F.lit(24 + 16 * len(df.columns))
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(f"`{name}`"), F.lit(0))
+    size = df.agg(F.sum(width.cast("bigint"))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
 
 
 def without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of docs whose key isn't in ids (settled, one column named like key). Rows with a null key stay."""
-    return docs.join(small(ids, 24), key, "left_anti")
+    return docs.join(small(ids), key, "left_anti")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -93,7 +93,7 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, threshold: float) -> Dat
     shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / LEADER_SHARE).alias("shares"))
     salted = pairs.join(shares, "a").select("a", "b", F.pmod(F.hash("b"), F.col("shares")).alias("salt"))
     roles = settle(salted.select(F.col("b").alias("doc_id"), F.col("a").alias("lead"), "salt").unionByName(salted.select(F.col("a").alias("doc_id"), F.col("a").alias("lead"), "salt").distinct()))
-    texts = docs.join(small(roles, 64), "doc_id")
+    texts = docs.join(small(roles), "doc_id")
     rows = texts.select("lead", "salt", "doc_id", "text", (F.col("lead") != F.col("doc_id")).alias("member"))
     sorted_ = rows.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "member")
     return sorted_.select("lead", "salt", "doc_id", "text").mapInArrow(_verifier(n, threshold), "a bigint, b bigint")
@@ -168,5 +168,5 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column
     mark = "row_of_id"
     while mark in docs.columns:
         mark += "_"
-    single = kept.join(small(again, 24), id_column, "left_semi").withColumn(mark, F.row_number().over(order)).where(F.col(mark) == 1).drop(mark)
+    single = kept.join(small(again), id_column, "left_semi").withColumn(mark, F.row_number().over(order)).where(F.col(mark) == 1).drop(mark)
     return without(kept, again, id_column).unionByName(single)

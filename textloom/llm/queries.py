@@ -5,13 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm.common import table
+from textloom.llm.decontaminate import contained_items
 from textloom.llm.near_dedup import near_duplicates
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_minhash_near_dedup": op3_minhash_near_dedup}
+QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op3_minhash_near_dedup)}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_benchmark_decontamination": r"""
+        WITH doc_words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+             item_words AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
+             doc_grams AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM doc_words),
+             item_grams AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM item_words),
+             sizes AS (SELECT item_id, count(*) AS n FROM item_grams GROUP BY item_id)
+        SELECT doc_id, item_id, round(count(*) / n, 6) AS containment
+        FROM doc_grams JOIN item_grams USING (g) JOIN sizes USING (item_id)
+        GROUP BY doc_id, item_id, n HAVING count(*) >= 0.5 * n""",
+}
