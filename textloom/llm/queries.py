@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.llm.bpe import encode
 from textloom.llm.common import table
 from textloom.llm.decontaminate import contained_items
 from textloom.llm.near_dedup import near_duplicates
@@ -17,7 +18,11 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op3_minhash_near_dedup)}
+def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op3_minhash_near_dedup, op6_byte_level_bpe)}
 
 ORACLE: dict[str, str] = {
     "op2_benchmark_decontamination": r"""
