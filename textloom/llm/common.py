@@ -71,15 +71,6 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))
 
 
-def free_name(df: DataFrame, stem: str) -> str:
-    """A column name that df doesn't have, whatever its case."""
-    taken = {c.lower() for c in df.columns}
-    name = stem
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def only(df: DataFrame, **columns: str | Column) -> DataFrame:
     """The columns needed, under our own names; whatever else df carries can't clash."""
     return df.select(*(((df[f"`{c}`"] if isinstance(c, str) else c).alias(name)) for name, c in columns.items()))

@@ -8,6 +8,7 @@ from textloom.llm.bpe import encode
 from textloom.llm.common import table
 from textloom.llm.decontaminate import contained_items
 from textloom.llm.near_dedup import near_duplicates
+from textloom.llm.suffix_dedup import repeated_passages
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,11 +19,15 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("whole")
+
+
 def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op3_minhash_near_dedup, op6_byte_level_bpe)}
+QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op3_minhash_near_dedup, op5_suffix_array_dedup, op6_byte_level_bpe)}
 
 ORACLE: dict[str, str] = {
     "op2_benchmark_decontamination": r"""
@@ -34,4 +39,13 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, item_id, round(count(*) / n, 6) AS containment
         FROM doc_grams JOIN item_grams USING (g) JOIN sizes USING (item_id)
         GROUP BY doc_id, item_id, n HAVING count(*) >= 0.5 * n""",
+    "op5_suffix_array_dedup": r"""
+        WITH words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+             places AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words WHERE len(w) >= 50),
+             runs AS (SELECT doc_id, i - 1 AS pos, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM places),
+             named AS (SELECT doc_id, pos, first_value(doc_id) OVER o AS at_doc, first_value(pos) OVER o AS at_pos FROM runs WINDOW o AS (PARTITION BY k ORDER BY doc_id, pos)),
+             again AS (SELECT * FROM named WHERE doc_id <> at_doc OR pos - at_pos >= 50),
+             gaps AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) <= 50 THEN 0 ELSE 1 END AS gap FROM again),
+             islands AS (SELECT *, sum(gap) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS island FROM gaps)
+        SELECT doc_id, min(pos) AS first_word, max(pos) + 50 - min(pos) AS n_words, min(at_doc) AS first_doc FROM islands GROUP BY doc_id, island""",
 }
