@@ -9,6 +9,11 @@ from textloom.llm.common import table
 from textloom.llm.decontaminate import contained_items
 from textloom.llm.near_dedup import near_duplicates
 from textloom.llm.suffix_dedup import repeated_passages
+from textloom.llm.toxicity import score_toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +32,7 @@ def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op3_minhash_near_dedup, op5_suffix_array_dedup, op6_byte_level_bpe)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_benchmark_decontamination, op3_minhash_near_dedup, op5_suffix_array_dedup, op6_byte_level_bpe)}
 
 ORACLE: dict[str, str] = {
     "op2_benchmark_decontamination": r"""
