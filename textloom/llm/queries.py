@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm.bpe import encode
-from textloom.llm.common import table
+from textloom.llm.common import shared_dir, table
 from textloom.llm.decontaminate import contained_items
+from textloom.llm.embedding_dedup import near_vectors
+from textloom.llm.html_extract import extract
+from textloom.llm.license_scan import scan_licenses
+from textloom.llm.lm_score import score_documents
 from textloom.llm.near_dedup import near_duplicates
 from textloom.llm.suffix_dedup import repeated_passages
 from textloom.llm.toxicity import score_toxicity
+from textloom.llm.warc import archived
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +31,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents")).drop("whole")
 
@@ -32,9 +43,40 @@ def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_benchmark_decontamination, op3_minhash_near_dedup, op5_suffix_array_dedup, op6_byte_level_bpe)}
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(spark, table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity,
+        op2_benchmark_decontamination,
+        op3_minhash_near_dedup,
+        op4_license_scan,
+        op5_suffix_array_dedup,
+        op6_byte_level_bpe,
+        op7_embedding_near_dedup,
+        op8_warc,
+        op9_lm_scoring,
+        op10_html_extraction,
+    )
+}
 
 ORACLE: dict[str, str] = {
+    "op8_warc": "SELECT page_id, url, html FROM pages",
     "op2_benchmark_decontamination": r"""
         WITH doc_words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
              item_words AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
