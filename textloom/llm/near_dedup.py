@@ -104,7 +104,7 @@ def docs_repeat(docs: DataFrame) -> bool:
     return bool(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count())
 
 
-def near_duplicates(docs: DataFrame, n: int = 3, threshold: float = 0.5, side: int = 7, half: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 3, threshold: float = 0.5, side: int = 12, half: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, duplicate_of): each document that is a near copy, with the least doc_id of its group.
 
     Groups are the connected components of the verified pairs. In each table,
