@@ -253,11 +253,12 @@ def _encoder(vocabulary, shard_bytes: int):
         pieces = _pieces(vocabulary.value)
         for shard in _shards(batches, shard_bytes):
             split = [split_words(part.column("text")) for part in shard]
-            coded = pa.chunked_array([w for w, _ in split], pa.large_binary()).dictionary_encode().unify_dictionaries()
-            words = coded.chunk(0).dictionary if coded.num_chunks else pa.array([], pa.large_binary())
-            tokens, ranges = replay.tokens(words)
-            for part, index, (_, texts) in zip(shard, coded.chunks, split):
-                ids, begins = _gather(tokens, ranges, np.asarray(index.indices))
+            coded = pa.concat_arrays([w for w, _ in split]).dictionary_encode()
+            tokens, ranges = replay.tokens(coded.dictionary)
+            index, done = np.asarray(coded.indices), 0
+            for part, (own, texts) in zip(shard, split):
+                ids, begins = _gather(tokens, ranges, index[done : done + len(own)])
+                done += len(own)
                 bounds = begins[texts]
                 text = part.column("text")
                 back = joined(pieces, ids, bounds)
