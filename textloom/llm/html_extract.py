@@ -6,7 +6,7 @@ below it. A node that is presented in many ways, or whose contents differ from
 page to page, is important; one that looks and reads the same everywhere isn't.
 Importance is entropy: of the styles below an element, and of each content
 feature over the pages; inner nodes combine both from the leaves upwards.
-Branches of low importance are removed from each page.
+Branches in which every node is of low importance are removed from each page.
 
 Children of equal presentation in a row count as one child, so that lists and
 articles of different lengths share a style. Contents are whole runs of text,
@@ -184,7 +184,7 @@ def composite(gamma: float, styles: list[tuple[int, int]], m: int, below: dict[i
     spread = min(1.0, -sum(n / total * math.log(n / total) for _, n in styles) / math.log(m))
     inner = 0.0
     for style, n in styles:
-        s, k = below.get(style, (0.0, 0))
+        s, k = below.get(style, (0.0, 0))[:2]
         inner += n / total * (s / k if k else 0.0)
     fade = gamma ** len(styles)
     return (1 - fade) * spread + fade * inner
@@ -204,19 +204,22 @@ def _weigher(gamma: float):
                     at, current = (host, depth), {}
                 if leaf:
                     value = 1.0 if m <= 1 else max(0.0, 1 - entropy / math.log(m))
+                    best = value
                 else:
                     value = composite(gamma, [(s["item"], s["n"]) for s in styles], m, below)
-                entry = current.setdefault(above, [0.0, 0])
+                    best = max([value, *(below[s["item"]][2] for s in styles if s["item"] in below)])
+                entry = current.setdefault(above, [0.0, 0, 0.0])
                 entry[0] += value
                 entry[1] += 1
-                out.append((host, node, m, value))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["host", "node", "pages", "importance"])
+                entry[2] = max(entry[2], best)
+                out.append((host, node, m, value, best))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["host", "node", "pages", "importance", "best"])
 
     return weigh
 
 
 def importances(pages: DataFrame, gamma: float = 0.9) -> DataFrame:
-    """(host, node, pages, importance) of the nodes of every host's style tree; hosts and nodes are named by hashes."""
+    """(host, node, pages, importance, best) of the nodes of every host's style tree, best being the highest importance of the node and all below it; hosts and nodes are named by hashes."""
     rows = pages.select(_host_of(F.col("url")).alias("host"), F.col("html").alias("html"))
     key = ["host", "node", "above", "depth", "leaf"]
     items = rows.mapInArrow(_surveyor, _SURVEY).groupBy(*key, "item").agg(F.sum("n").alias("n"), F.sum("q").alias("q"))
@@ -227,7 +230,7 @@ def importances(pages: DataFrame, gamma: float = 0.9) -> DataFrame:
         F.collect_list(F.when(shown & ~F.col("leaf"), F.struct("item", "n"))).alias("styles"),
     )
     ordered = nodes.repartition("host").sortWithinPartitions("host", F.desc("depth"))
-    return ordered.mapInArrow(_weigher(gamma), "host bigint, node bigint, pages bigint, importance double")
+    return ordered.mapInArrow(_weigher(gamma), "host bigint, node bigint, pages bigint, importance double, best double")
 
 
 def render(root: Node, host: int, gone) -> tuple[str, int]:
@@ -281,7 +284,7 @@ def _extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract(pages: DataFrame, threshold: float = 0.2, gamma: float = 0.9) -> DataFrame:
-    """(page_id, url, text, n_removed) for every row of pages: the text that remains when branches of an importance below ``threshold`` are removed, and how many were.
+    """(page_id, url, text, n_removed) for every row of pages: the text that remains when branches are removed in which no node has an importance of ``threshold``, and how many were.
 
     A host known from one page only keeps everything, as nothing there can be
     seen to repeat. Pages with a null url, or one without a host, share a tree.
@@ -291,7 +294,7 @@ def extract(pages: DataFrame, threshold: float = 0.2, gamma: float = 0.9) -> Dat
     their names.
     """
     pages = only(pages, page_id="page_id", url="url", html="html").withColumn("page_id", F.col("page_id").cast("bigint"))
-    low = importances(pages, gamma).where(F.col("importance") < threshold)
+    low = importances(pages, gamma).where(F.col("best") < threshold)
     gone = settle(low.groupBy("host").agg(F.collect_list("node").alias("gone")))
     size = gone.agg(F.sum(F.lit(32) + 8 * F.size("gone"))).first()[0] or 0
     given = F.broadcast(gone) if size <= BROADCAST_BYTES else gone
