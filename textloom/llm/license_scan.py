@@ -143,6 +143,15 @@ def scan_words(words: list, seeds: list[tuple[int, int]], template: list, thresh
     return sorted(out)
 
 
+def best_of(found: list[tuple[int, int, int, float]], sizes: list[int]) -> list[tuple[int, int, int, float]]:
+    """Of stretches (template, first word, number of words, coverage) that overlap, the one with the most matched words; of equal ones the shorter, then the earlier."""
+    kept: list[tuple[int, int, int, float]] = []
+    for x in sorted(found, key=lambda x: (-round(x[3] * sizes[x[0]]), x[2], x[1], x[0])):
+        if all(x[1] >= y[1] + y[2] or y[1] >= x[1] + x[2] for y in kept):
+            kept.append(x)
+    return kept
+
+
 def _scanner(templates: dict[str, str], threshold: float, seed: int):
     names = list(templates)
     cut = words_of(pa.array([templates[x] for x in names], pa.string()))
@@ -177,10 +186,12 @@ def _scanner(templates: dict[str, str], threshold: float, seed: int):
                     for k in range(low[p], high[p]):
                         seeds.setdefault((d, int(which[k])), []).append((p - int(words.offsets[d]), int(where[k])))
                 ids = part.column("doc_id")
+                met: dict[int, list[tuple]] = {}
                 for (d, t), found in seeds.items():
                     mine = words.hashes[words.offsets[d] : words.offsets[d + 1]].tolist()
-                    for first, length, coverage in scan_words(mine, found, templates_[t], threshold):
-                        out.append((ids[d].as_py(), names[t], first, length, round(coverage, 6)))
+                    met.setdefault(d, []).extend((t, *x) for x in scan_words(mine, found, templates_[t], threshold))
+                for d, found in met.items():
+                    out += [(ids[d].as_py(), names[t], first, length, round(coverage, 6)) for t, first, length, coverage in best_of(found, [len(w) for w in templates_])]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64()))],
                 names=["doc_id", "license", "first_word", "n_words", "coverage"],
@@ -193,8 +204,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
     """(doc_id, license, first_word, n_words, coverage): the stretches of each text that hold at least ``threshold`` of a template's words in order.
 
     Words are compared without case and punctuation. A template that stands
-    several times in a text is found each time, and a stretch that satisfies
-    several templates is given for each. A stretch is at most twice as long as
+    several times in a text is found each time; of stretches that overlap, the
+    one with the most matched words counts, of equal ones the shortest. A stretch is at most twice as long as
     its template, and eight words. Null or empty texts hold no license. Null
     and repeated doc_ids are scanned row by row. An empty table gives an empty
     result. Other columns are ignored, whatever their names.
