@@ -28,8 +28,10 @@ from textloom.llm.text import _flat, chunks, mix
 
 #: Where the vocabulary lies by default; a parameter everywhere.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Bytes of text whose distinct words are looked up together.
-SHARD_BYTES = 32 << 20
+#: Bytes of text that are split into words together.
+SHARD_BYTES = 4 << 20
+#: Distinct words whose probabilities a task keeps for its next texts, before it begins anew.
+KEPT_WORDS = 4 << 20
 #: Characters of distinct words whose lattices are held at a time.
 BLOCK_CHARS = 1 << 18
 #: Words of more characters go through the recursion one by one.
@@ -247,6 +249,7 @@ def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Distinct(NamedTuple):
+    key: np.ndarray
     code: np.ndarray
     bounds: np.ndarray
     which: np.ndarray
@@ -257,16 +260,42 @@ def _distinct(code: np.ndarray, bounds: np.ndarray) -> Distinct:
     """The distinct words, which one each word is, and how often each occurs."""
     length = np.diff(bounds)
     if not len(length):
-        return Distinct(code, np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return Distinct(np.zeros(0, _U), code, np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     # a hash along each word: powers begin anew in every word
     place = np.arange(len(code)) - np.repeat(bounds[:-1], length)
     value = _hash(code) * mix(place.astype(_U) + _U(77))
     key = mix(np.add.reduceat(value, bounds[:-1]) + length.astype(_U))
-    _, first, which, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    del value, place
+    key, first, which, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
     size = length[first]
     own = np.concatenate([[0], np.cumsum(size)])
     take = np.repeat(bounds[:-1][first] - own[:-1], size) + np.arange(own[-1])
-    return Distinct(code[take], own, which, times)
+    return Distinct(key, code[take], own, which, times)
+
+
+class _Known:
+    """Probabilities of the words that a task has met, by the hash of the word."""
+
+    def __init__(self):
+        self.keys, self.values = np.zeros(0, _U), np.zeros(0)
+
+    def of(self, words: Distinct, lattice: Lattice) -> np.ndarray:
+        at = np.searchsorted(self.keys, words.key)
+        met = at < len(self.keys)
+        met[met] = self.keys[at[met]] == words.key[met]
+        out = np.empty(len(words.key))
+        out[met] = self.values[at[met]]
+        new = np.flatnonzero(~met)
+        if len(new):
+            size = np.diff(words.bounds)[new]
+            own = np.concatenate([[0], np.cumsum(size)])
+            take = np.repeat(words.bounds[:-1][new] - own[:-1], size) + np.arange(own[-1])
+            out[new], _ = lattice.words(words.code[take], own)
+            if len(self.keys) > KEPT_WORDS:
+                self.keys, self.values = words.key, out
+            else:
+                self.keys, self.values = np.insert(self.keys, at[new], words.key[new]), np.insert(self.values, at[new], out[new])
+        return out
 
 
 def _shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -324,12 +353,12 @@ def fit_scores(docs: DataFrame, vocabulary: str = VOCABULARY, prior: float = 100
 
 def _scorer(vocabulary, scores, shard_bytes: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(vocabulary.value, scores.value)
+        lattice, known = Lattice(vocabulary.value, scores.value), _Known()
         for shard in _shards(batches, shard_bytes):
             text = shard.column("text")
             code, bounds, ranges = _split(text)
             own = _distinct(code, bounds)
-            each, _ = lattice.words(own.code, own.bounds)
+            each = known.of(own, lattice)
             owner = np.repeat(np.arange(len(text)), np.diff(ranges))
             total = np.bincount(owner, each[own.which], minlength=len(text)) if len(owner) else np.zeros(len(text))
             size = np.asarray(pc.binary_length(text).fill_null(0), dtype=float)
