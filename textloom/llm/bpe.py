@@ -28,7 +28,7 @@ from textloom.llm.text import CHUNK_CHARS, chunks
 #: Where the vocabulary lies by default; a parameter everywhere.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Bytes of text whose distinct words are replayed together.
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 8 << 20
 
 LETTER, NUMBER, SPACE, OTHER = range(4)
 _classes: list[np.ndarray] = []

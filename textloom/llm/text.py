@@ -7,6 +7,7 @@ Whole batches are hashed with numpy: no Python loop runs per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -157,16 +158,33 @@ def distinct(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return values[keep], np.searchsorted(owner[keep], np.arange(len(offsets)))
 
 
+_libc: list = []
+
+
+def give_back() -> None:
+    """Return freed memory to the system, as far as its allocator can; workers are reused by later stages, and share a machine's memory with the JVM."""
+    if not _libc:
+        libc = ctypes.CDLL(None)
+        pa.set_memory_pool(pa.system_memory_pool())
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(-3, 1 << 20)  # arrays of 1 MB and more are mapped, and unmapped when freed
+        _libc.append(getattr(libc, "malloc_trim", None))
+    if _libc[0]:
+        _libc[0](0)
+
+
 def chunks(batch: pa.RecordBatch, column: str, size: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of a batch with about ``size`` bytes of text each, one row at least."""
     texts = batch.column(column)
     lengths = np.asarray(pa.compute.binary_length(texts).fill_null(0), dtype=np.int64)
     if not len(lengths):
         return
+    give_back()
     group = np.cumsum(lengths) // size
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1), len(lengths)]
     for a, b in zip(cuts[:-1], cuts[1:]):
         yield batch.slice(a, b - a)
+    give_back()
 
 
 def list_array(values: pa.Array, offsets: np.ndarray) -> pa.Array:
