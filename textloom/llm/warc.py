@@ -188,7 +188,9 @@ def _pages(rows: list[tuple]) -> pa.RecordBatch:
 
 def read_warc(files: DataFrame, path: str) -> DataFrame:
     """(page_id, url, html) of all records in the files of path that files names in its column file, each file read once."""
-    return files.select("file").distinct().mapInArrow(_reader(path), "page_id bigint, url string, html string")
+    names = files.select("file").distinct()
+    # a task for each file: their names are so few bytes that they would be put together into one
+    return names.repartition(max(1, names.count())).mapInArrow(_reader(path), "page_id bigint, url string, html string")
 
 
 def as_uri(path: str) -> str:
