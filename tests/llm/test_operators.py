@@ -114,6 +114,21 @@ def test_alignment_is_in_order_and_licenses_are_found(spark):
     assert sorted(found) == [(1, "mit", 400), (3, "all-rights-reserved", 0), (3, "all-rights-reserved", 4)]
 
 
+def test_copies_of_a_template_next_to_each_other_are_each_found():
+    for name in ("all-rights-reserved", "mit-notice", "cc-by-4.0", "isc", "gpl-3.0"):
+        template = words(license_scan.TEMPLATES[name])
+        for before, gap, after, copies in itertools.product((0, 1, 2, 8, 10, 40), (0, 1, 2, 5, 9), (0, 1, 2, 8, 10, 40), (2, 3)):
+            text = [f"b{i}" for i in range(before)]
+            want = []
+            for c in range(copies):
+                text += [f"g{c}{i}" for i in range(gap if c else 0)]
+                want.append((len(text), len(template), 1.0))
+                text += template
+            text += [f"a{i}" for i in range(after)]
+            seeds = [(p, q) for p in range(len(text) - 2) for q in range(len(template) - 2) if text[p : p + 3] == template[q : q + 3]]
+            assert license_scan.scan_words(text, seeds, template, 0.8) == want, (name, before, gap, after, copies)
+
+
 def test_licenses_of_the_table_against_plain_search(spark):
     got = {(r["doc_id"], r["license"]) for r in Q.op4_license_scan(spark, SF).collect() if r["coverage"] == 1 and r["license"] != "mit"}
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():

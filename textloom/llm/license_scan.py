@@ -130,19 +130,30 @@ def scan_words(words: list, seeds: list[tuple[int, int]], template: list, thresh
                 todo += [(low, first), (last, high)]
                 continue
         # the template may stand several times, so that its words aren't unique: each seed by itself
-        if high - low > 3 * size + 16:
-            at = low
-            for p, q in sorted(seeds):
-                if at <= p < high:
-                    start, end = max(at, p - q - 2), min(high, p - q + size + 2)
-                    matched = align(words[start:end], template)
-                    if len(matched) >= threshold * size:
-                        first, last = start + matched[0][0], start + matched[-1][0] + 1
-                        out.append((first, last - first, len(matched) / size))
-                        at = last
+        at = low
+        for p, q in sorted(seeds):
+            if at <= p < high:
+                matched = _around(words, template, p, q, at, high)
+                if len(matched) >= threshold * size:
+                    first, last = matched[0][0], matched[-1][0] + 1
+                    out.append((first, last - first, len(matched) / size))
+                    at = last
     return sorted(out)
 
 
+def _around(words: list, template: list, p: int, q: int, low: int, high: int) -> list[tuple[int, int]]:
+    """Of the alignments around a seed at p in the text and q in the template, the one that matches most words on a stretch that isn't too long; of equal ones the shorter."""
+    size = len(template)
+    tried = []
+    for start, end in ((p - 2 * q - 8, p + 2 * (size - q) + 8), (p - q - 2, p - q + size + 2)):
+        start, end = max(low, start), min(high, end)
+        # with the seed as a fixed point, what stands next to the copy can't make its words less unique
+        tried.append([(start + i, k) for i, k in align(words[start:p], template[:q])] + [(p + i, q + k) for i, k in align(words[p:end], template[q:])])
+    tried.append([(start + i, k) for i, k in align(words[start:end], template)])
+    fit = [x for x in tried if x and x[-1][0] + 1 - x[0][0] <= 2 * size + 8]
+    return max(fit, key=lambda x: (len(x), x[0][0] - x[-1][0]), default=[])
+
+
 def best_of(found: list[tuple[int, int, int, float]], sizes: list[int]) -> list[tuple[int, int, int, float]]:
     """Of stretches (template, first word, number of words, coverage) that overlap, the one with the most matched words; of equal ones the shorter, then the earlier."""
     kept: list[tuple[int, int, int, float]] = []
