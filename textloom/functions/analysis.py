@@ -152,13 +152,78 @@ def keep_pattern(c: Column | str, pattern: str) -> Column:
     return F.array_join(find_tokens(c, pattern), "")
 
 
-_ACCENTS = str.maketrans("àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY")
+#: Each plain character, and the ones that become it.
+_PLAIN = {
+    "/": "÷",
+    "A": "ÀÁÂÃÄÅĀĂĄǍǞǺȀȂȦḀẠẢẤẦẨẪẬẮẰẲẴẶ",
+    "B": "ḂḄḆ",
+    "C": "ÇĆĈĊČḈ",
+    "D": "ÐĎĐǄǅǱǲḊḌḎḐḒ",
+    "E": "ÈÉÊËĒĔĖĘĚȄȆȨḔḖḘḚḜẸẺẼẾỀỂỄỆ",
+    "F": "Ḟ",
+    "G": "ĜĞĠĢǦǴḠ",
+    "H": "ĤĦȞḢḤḦḨḪ",
+    "I": "ÌÍÎÏĨĪĬĮİĲǏȈȊḬḮỈỊ",
+    "J": "Ĵ",
+    "K": "ĶǨḰḲḴ",
+    "L": "ĹĻĽĿŁǇǈḶḸḺḼ",
+    "M": "ḾṀṂ",
+    "N": "ÑŃŅŇŊǊǋǸṄṆṈṊ",
+    "O": "ÒÓÔÕÖØŌŎŐƠǑǪǬȌȎȪȬȮȰṌṎṐṒỌỎỐỒỔỖỘỚỜỞỠỢ",
+    "P": "ṔṖ",
+    "R": "ŔŖŘȐȒṘṚṜṞ",
+    "S": "ŚŜŞŠȘṠṢṤṦṨ",
+    "T": "ŢŤŦȚṪṬṮṰ",
+    "U": "ÙÚÛÜŨŪŬŮŰŲƯǓǕǗǙǛȔȖṲṴṶṸṺỤỦỨỪỬỮỰ",
+    "V": "ṼṾ",
+    "W": "ŴẀẂẄẆẈ",
+    "X": "ẊẌ",
+    "Y": "ÝŶŸȲẎỲỴỶỸ",
+    "Z": "ŹŻŽẐẒẔ",
+    "a": "àáâãäåāăąǎǟǻȁȃȧḁẚạảấầẩẫậắằẳẵặ",
+    "b": "ḃḅḇ",
+    "c": "çćĉċčḉ",
+    "d": "ðďđǆǳḋḍḏḑḓ",
+    "e": "èéêëēĕėęěȅȇȩḕḗḙḛḝẹẻẽếềểễệ",
+    "f": "ḟ",
+    "g": "ĝğġģǧǵḡ",
+    "h": "ĥħȟḣḥḧḩḫẖ",
+    "i": "ìíîïĩīĭįıĳǐȉȋḭḯỉị",
+    "j": "ĵǰ",
+    "k": "ķĸǩḱḳḵ",
+    "l": "ĺļľŀłǉḷḹḻḽ",
+    "m": "ḿṁṃ",
+    "n": "ñńņňŋǌǹṅṇṉṋ",
+    "o": "òóôõöøōŏőơǒǫǭȍȏȫȭȯȱṍṏṑṓọỏốồổỗộớờởỡợ",
+    "p": "ṕṗ",
+    "r": "ŕŗřȑȓṙṛṝṟ",
+    "s": "śŝşšſșṡṣṥṧṩ",
+    "t": "ţťŧțṫṭṯṱẗ",
+    "u": "ùúûüũūŭůűųưǔǖǘǚǜȕȗṳṵṷṹṻụủứừửữự",
+    "v": "ṽṿ",
+    "w": "ŵẁẃẅẇẉẘ",
+    "x": "×ẋẍ",
+    "y": "ýÿŷȳẏẙỳỵỷỹ",
+    "z": "źżžẑẓẕ",
+    "Æ": "ǢǼ",
+    "Ø": "Ǿ",
+    "æ": "ǣǽ",
+    "ø": "ǿ",
+    "ſ": "ẛ",
+    "Ʒ": "Ǯ",
+    "Ȧ": "Ǡ",
+    "ȧ": "ǡ",
+    "ʒ": "ǯ",
+    "ʼ": "ŉ",
+}
+_ACCENTS = str.maketrans({x: plain for plain, marked in _PLAIN.items() for x in marked})
+_SPELT = (("©", "(c)"), ("Æ", "AE"), ("Œ", "OE"), ("§", "Section"), ("Þ", "TH"), ("æ", "ae"), ("œ", "oe"), ("ß", "ss"), ("þ", "th"))
 
 
 def without_accents(c: Column | str) -> Column:
-    """Letters without their marks; ligatures and the section sign are spelt out."""
-    plain = F.translate(_col(c), "".join(map(chr, _ACCENTS)), "".join(chr(v) for v in _ACCENTS.values()))
-    return reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), [("Æ", "AE"), ("æ", "ae"), ("Œ", "OE"), ("œ", "oe"), ("ß", "ss"), ("§", "Section")], plain)
+    """Letters without their marks, each replaced once; ligatures and the signs of section and copyright are spelt out."""
+    spelt = reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), _SPELT, _col(c))
+    return F.translate(spelt, "".join(map(chr, _ACCENTS)), "".join(_ACCENTS.values()))
 
 
 _SOUNDS = (("[aehiouwy]", "0"), ("[bpfv]", "1"), ("[cgjkqsxz]", "2"), ("[dt]", "3"), ("l", "4"), ("[mn]", "5"), ("r", "6"))
