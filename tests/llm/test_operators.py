@@ -91,6 +91,18 @@ def test_toxic_documents_are_found_and_clean_ones_left(spark):
     assert drop_toxic(make(spark, docs), labels).count() == sum(not scored[i] for i in scored)
 
 
+def test_a_toxic_edit_of_a_clean_example_stays_an_example(spark):
+    rng = np.random.default_rng(5)
+    bad = rng.random(400) < 0.2
+    docs = [(i, prose(i, 80) + (" vile nasty awful" if bad[i] else "")) for i in range(400)]
+    docs += [(-3, prose(1000, 80)), (-2, prose(1000, 80) + " vile nasty awful"), (-1, prose(1000, 80) + " vile nasty awful")]
+    labels = spark.createDataFrame([(i, 1, int(bad[i])) for i in range(0, 400, 2)] + [(-3, 1, 0), (-2, 1, 1), (-1, 1, 1)], "doc_id bigint, quality int, toxic int")
+    scored = {r["doc_id"]: r for r in score_toxicity(make(spark, docs), labels).collect()}
+    held = next(i for i in range(1, 400, 2) if bad[i])
+    assert scored[held]["toxic"] and [(e["doc_id"], e["toxic"]) for e in scored[held]["evidence"]][:2] == [(-2, 1), (-1, 1)]
+    assert scored[-2]["toxic"] and not scored[-3]["toxic"]
+
+
 def test_bpe_equals_a_known_encoder(spark):
     tokenizers = pytest.importorskip("tokenizers")
     coder = tokenizers.Tokenizer.from_file(bpe.VOCABULARY)

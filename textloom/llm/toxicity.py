@@ -1,14 +1,16 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-The examples are a bounded sample of the labelled documents, one of each group
-of near copies. Terms are those that go with the label beyond chance among all
-the terms tried; their document frequencies are counted over all documents.
+The examples are a bounded sample of the labelled documents. Terms are those
+that go with the label beyond chance among all the terms tried, where near
+copies of the same label count once; their document frequencies are counted
+over all documents.
 The inverted index over the examples has aligned blocks of consecutive
 examples with the largest weight of each term in each block. A query bounds
 the similarity in every block by its terms' block maxima, and reads blocks in
 falling order of the bound until no block can hold a nearer example, which
 gives the exact nearest ones. Their votes, weighted by nearness, are mapped to
-probabilities by isotonic regression over the examples, each voted on without itself.
+probabilities by isotonic regression over the examples without repeats, each
+voted on without itself and its near copies.
 """
 
 from __future__ import annotations
@@ -60,8 +62,8 @@ class BlockMaxIndex:
         self.tops = np.maximum.reduceat(self.weights, self.begins[:-1]) if len(block) else np.zeros(0)
         self.block_ranges = np.searchsorted(terms[first], np.arange(n_terms + 1))
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k rows of largest inner product above zero, and it; of equal ones the lower row first. skip: a row left out."""
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k rows of largest inner product above zero, and it; of equal ones the lower row first. skip: rows left out."""
         bound = np.zeros(self.n_blocks)
         for t, w in zip(terms, weights):
             a, b = self.block_ranges[t], self.block_ranges[t + 1]
@@ -84,8 +86,9 @@ class BlockMaxIndex:
             hit = np.flatnonzero(score > 0)
             found = now[hit // BLOCK] * BLOCK + hit % BLOCK
             score = score[hit]
-            if skip >= 0:
-                score, found = score[found != skip], found[found != skip]
+            if skip is not None:
+                other = ~np.isin(found, skip)
+                score, found = score[other], found[other]
             rows, scores = np.append(rows, found), np.append(scores, score)
             best = np.lexsort((rows, -np.round(scores, 12)))[:k]
             rows, scores = rows[best], scores[best]
@@ -153,16 +156,29 @@ def _example_reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             )
 
 
-def _one_of_each(ids: np.ndarray, halves: list, side: int = 7) -> np.ndarray:
-    """Ids without those that share a key with an earlier one."""
+def _copies(ids: np.ndarray, labels: np.ndarray, halves: list, side: int = 7) -> tuple[np.ndarray, dict[int, int]]:
+    """Ids without those that share a key with an earlier one of the same label; and for each id the group, whatever the label, that shared keys link it to."""
     seen: set = set()
     kept = []
-    for i, half in sorted(zip(ids.tolist(), halves)):
+    root: dict[int, int] = {}
+    holder: dict[tuple, int] = {}
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i, label, half in sorted(zip(ids.tolist(), labels.tolist(), halves), key=lambda x: x[0]):
         keys = {(a, x, b, y) for a, x in enumerate(half[:side]) for b, y in enumerate(half[side:])}
-        if seen.isdisjoint(keys):
+        marked = {(label, *key) for key in keys}
+        if seen.isdisjoint(marked):
             kept.append(i)
-        seen |= keys
-    return np.array(kept, np.int64)
+        seen |= marked
+        root[i] = i
+        for key in keys:
+            first = find(holder.setdefault(key, i))
+            root[find(i)] = first
+    return np.array(kept, np.int64), {i: find(i) for i in root}
 
 
 def _hit_finder(vocabulary: np.ndarray):
@@ -230,12 +246,12 @@ def fit(docs: DataFrame, labels: DataFrame, k: int = 15, max_examples: int = 20_
     sample = settle(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples))
     read = docs.join(small(sample), "doc_id").mapInArrow(_example_reader, "doc_id bigint, toxic int, halves array<bigint>, terms array<bigint>")
     examples = settle(read.where("size(halves) > 0").dropDuplicates(["doc_id"]))
-    signed = examples.select("doc_id", "halves").toPandas()
-    kept = docs.sparkSession.createDataFrame(pa.table({"doc_id": _one_of_each(signed["doc_id"].to_numpy(np.int64), [list(h) for h in signed["halves"]])}))
-    examples = settle(examples.join(F.broadcast(kept), "doc_id").drop("halves"))
-    total, toxic = examples.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    signed = examples.select("doc_id", "toxic", "halves").toPandas()
+    kept, group = _copies(signed["doc_id"].to_numpy(np.int64), signed["toxic"].to_numpy(np.int64), [list(h) for h in signed["halves"]])
+    tested = settle(examples.join(F.broadcast(docs.sparkSession.createDataFrame(pa.table({"doc_id": kept}))), "doc_id").drop("halves"))
+    total, toxic = tested.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     rate = (toxic + 0.5) / (total + 1)
-    by_term = examples.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
+    by_term = tested.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
     share = F.col("t") / F.col("n")
     # Chernoff's bound on the chance that so many of n documents are toxic
     bound = F.col("n") * (share * F.log(share / rate) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - rate))).otherwise(0.0))
@@ -255,14 +271,19 @@ def fit(docs: DataFrame, labels: DataFrame, k: int = 15, max_examples: int = 20_
     flat = lambda i, kind: np.concatenate([v[i] for v in vectors]) if vectors else np.zeros(0, kind)
     rows = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors]).astype(np.int64)
     index = BlockMaxIndex(rows, flat(0, np.int64), flat(1, float), len(vectors), len(vocabulary))
+    groups = np.array([group[i] for i in ids.tolist()], np.int64)
+    once = np.isin(ids, kept)
+    together: dict[int, list[int]] = {}
+    for r, g in enumerate(groups.tolist()):
+        together.setdefault(g, []).append(r)
     votes, voted = [], []
-    for r, (terms, weights) in enumerate(vectors):
-        near, scores = index.nearest(terms, weights, k, skip=r)
+    for r in np.flatnonzero(once):
+        near, scores = index.nearest(*vectors[r], k, skip=np.array(together[int(groups[r])]))
         if len(near):
             votes.append(_vote(y[near], scores))
             voted.append(y[r])
     steps, chances = _isotonic(np.array(votes), np.array(voted, float), rate) if votes else (np.zeros(1), np.full(1, rate))
-    rest, rest_toxic = total - len(vectors), toxic - int(y.sum())
+    rest, rest_toxic = total - int(once.sum()), toxic - int(y[once].sum())
     return Model(vocabulary, idf, index, ids, y, steps, chances, (rest_toxic + rate) / (rest + 1) if total else 0.0, k), hits
 
 
