@@ -97,8 +97,10 @@ def range_ends(tokens: Column) -> Column:
 
 
 def pairs_as_ranges(tokens: Column) -> Column:
-    """Each two tokens in a row make one range term."""
-    return F.transform(F.sequence(F.lit(0), (F.size(tokens) / 2).cast("int") - 1), lambda i: F.concat_ws("/", F.get(tokens, i * 2), F.get(tokens, i * 2 + 1)))
+    """Each two tokens in a row make one range term; a last one without a partner makes a range of itself."""
+    n = F.size(tokens)
+    begins = F.filter(F.sequence(F.lit(0), n), lambda i: (i % 2 == 0) & (i < n))
+    return F.transform(begins, lambda i: F.concat_ws("/", F.get(tokens, i), F.get(tokens, F.least(i + 1, n - 1))))
 
 
 # --- normalizers ------------------------------------------------------------

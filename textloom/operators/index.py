@@ -62,7 +62,7 @@ def facets(docs: DataFrame, hits: DataFrame, by: str, key: str = "doc_id") -> Da
 
 def similar_to(docs: DataFrame, terms: DataFrame, limit: int, key: str = "doc_id") -> DataFrame:
     """Rows that hold the terms, by how many of them."""
-    held = postings(docs, key).join(F.broadcast(terms.limit(1000)), "term")
+    held = postings(docs, key).join(terms, "term")
     return held.groupBy(key).agg(F.count("*").alias("n_terms"), F.sum("occs").alias("n_occs")).orderBy(F.desc("n_terms"), F.desc("n_occs"), key).limit(limit)
 
 
