@@ -1,21 +1,20 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-The examples are a bounded sample of the labelled documents. Terms are those
-that go with the label beyond chance among all the terms tried, where near
-copies of the same label count once; their document frequencies are counted
-over all documents.
+The examples are a bounded sample of the labelled documents. Every term of
+every example counts, and document frequencies are counted over all documents.
 The inverted index over the examples has aligned blocks of consecutive
-examples with the largest weight of each term in each block. A query bounds
-the similarity in every block by its terms' block maxima, and reads blocks in
-falling order of the bound until no block can hold a nearer example, which
-gives the exact nearest ones. Their votes, weighted by nearness, are mapped to
-probabilities by isotonic regression over the examples without repeats, each
-voted on without itself and its near copies.
+examples with the largest weight of each term in each block; the few terms
+that most examples share are kept as dense columns, since their postings would
+be nearly full lists. A query bounds the similarity in every block by its
+terms' block maxima, looks at the blocks of the highest bounds first, and then
+only at blocks that can still hold a nearer example, which gives the exact
+nearest ones. Their votes, weighted by nearness, are mapped to probabilities by
+isotonic regression over the examples, each voted on without itself and its
+near copies.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -25,12 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import only, settle, small, without
-from textloom.llm.near_dedup import _signer
 from textloom.llm.text import chunks, list_array, words_of
 
 _U = np.uint64
 #: Examples in a block of the index.
 BLOCK = 64
+#: Terms of most postings, which are kept as dense columns.
+DENSE = 256
+#: Queries that are looked up together.
+TOGETHER = 64
 
 
 def _count(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,16 +45,29 @@ def _count(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return owner[at], values[at], np.diff(np.append(at, len(values)))
 
 
+def _ranges(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All places of the ranges, one after the other."""
+    length = ends - begins
+    total = np.cumsum(length)
+    return np.arange(total[-1] if len(total) else 0) + np.repeat(begins - (total - length), length)
+
+
 class BlockMaxIndex:
     """An exact nearest-neighbour index over sparse vectors of length 1; ids are their positions."""
 
     def __init__(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_rows: int, n_terms: int):
-        self.n_rows = n_rows
-        self.n_blocks = max(1, -(-n_rows // BLOCK))
+        self.n_rows, self.n_blocks = n_rows, max(1, -(-n_rows // BLOCK))
+        held = np.bincount(terms, minlength=n_terms)
+        common = np.sort(np.lexsort((np.arange(n_terms), -held))[:DENSE])
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        self.dense = np.zeros((self.n_blocks * BLOCK, len(common)))
+        full = self.column[terms] >= 0
+        self.dense[rows[full], self.column[terms[full]]] = weights[full]
+        rows, terms, weights = rows[~full], terms[~full], weights[~full]
         order = np.lexsort((rows, terms))
-        self.rows, self.weights = rows[order], weights[order]
+        self.rows, self.weights = rows[order].astype(np.int32), weights[order]
         terms = terms[order]
-        self.ranges = np.searchsorted(terms, np.arange(n_terms + 1))
         # each term's blocks that hold it: where their postings begin, and their largest weight
         block = self.rows // BLOCK
         first = np.ones(len(block), bool)
@@ -62,42 +77,54 @@ class BlockMaxIndex:
         self.tops = np.maximum.reduceat(self.weights, self.begins[:-1]) if len(block) else np.zeros(0)
         self.block_ranges = np.searchsorted(terms[first], np.arange(n_terms + 1))
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The k rows of largest inner product above zero, and it; of equal ones the lower row first. skip: rows left out."""
-        bound = np.zeros(self.n_blocks)
-        for t, w in zip(terms, weights):
-            a, b = self.block_ranges[t], self.block_ranges[t + 1]
-            bound[self.blocks[a:b]] += w * self.tops[a:b]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        rows, scores, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        done = 0
-        while done < len(order) and (len(rows) < k or bound[order[done]] >= least - 1e-12):
-            now = np.sort(order[done : done + max(1, done)])
-            done += len(now)
-            score = np.zeros(len(now) * BLOCK)
-            for t, w in zip(terms, weights):
-                a, b = self.block_ranges[t], self.block_ranges[t + 1]
-                held = np.isin(self.blocks[a:b], now, assume_unique=True)
-                for j in np.flatnonzero(held) + a:
-                    p, q = self.begins[j], self.begins[j + 1]
-                    base = np.searchsorted(now, self.blocks[j]) * BLOCK
-                    score[base + self.rows[p:q] % BLOCK] += w * self.weights[p:q]
-            hit = np.flatnonzero(score > 0)
-            found = now[hit // BLOCK] * BLOCK + hit % BLOCK
-            score = score[hit]
-            if skip is not None:
-                other = ~np.isin(found, skip)
-                score, found = score[other], found[other]
-            rows, scores = np.append(rows, found), np.append(scores, score)
-            best = np.lexsort((rows, -np.round(scores, 12)))[:k]
-            rows, scores = rows[best], scores[best]
-            least = scores[-1] if len(rows) == k else 0.0
-        return rows, scores
+    def nearest(self, offsets: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, below: float = np.inf) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query, a range of terms and weights, the k rows of largest inner product above zero, and it; of equal ones the lower row first. Rows of ``below`` and more are left out."""
+        for low in range(0, len(offsets) - 1, TOGETHER):
+            some = offsets[low : low + TOGETHER + 1]
+            part = slice(some[0], some[-1])
+            column = self.column[terms[part]]
+            owner = np.repeat(np.arange(len(some) - 1), np.diff(some))
+            asked = np.zeros((len(some) - 1, self.dense.shape[1]))
+            asked[owner[column >= 0], column[column >= 0]] = weights[part][column >= 0]
+            scores = asked @ self.dense.T
+            tops = scores.reshape(len(scores), self.n_blocks, BLOCK).max(2)
+            for q, (a, b) in enumerate(zip(some[:-1], some[1:])):
+                rare = np.flatnonzero(column[a - some[0] : b - some[0]] < 0) + a
+                yield self._one(scores[q], tops[q], terms[rare], weights[rare], k, below)
+
+    def _one(self, score: np.ndarray, bound: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, below: float) -> tuple[np.ndarray, np.ndarray]:
+        begins, ends = self.block_ranges[terms], self.block_ranges[terms + 1]
+        lists = _ranges(begins, ends)
+        weight, block = np.repeat(weights, ends - begins), self.blocks[lists]
+        bound = bound + np.bincount(block, weight * self.tops[lists], self.n_blocks)
+        ahead = 2 * -(-k // BLOCK)
+        look = np.zeros(self.n_blocks, bool)
+        look[np.argpartition(-bound, ahead)[:ahead] if ahead < self.n_blocks else slice(None)] = True
+        self._add(score, lists, weight, look[block])
+        if not look.all():
+            found = score.reshape(-1, BLOCK)[look].ravel()
+            found = found[found < below]
+            least = np.partition(found, -k)[-k] if len(found) >= k else 0.0
+            more = ~look & (bound >= least - 1e-9)
+            self._add(score, lists, weight, more[block])
+            look |= more
+        score = np.where(np.repeat(look, BLOCK) & (score < below), score, 0.0)[: self.n_rows]
+        best = np.flatnonzero(score > 0)
+        if len(best) > k:
+            least = np.partition(score[best], -k)[-k]
+            best = best[score[best] >= least - 1e-9]
+        best = best[np.lexsort((best, -np.round(score[best], 9)))][:k]
+        return best, score[best]
+
+    def _add(self, score: np.ndarray, lists: np.ndarray, weight: np.ndarray, chosen: np.ndarray) -> None:
+        begins = self.begins[lists[chosen]]
+        ends = self.begins[lists[chosen] + 1]
+        places = _ranges(begins, ends)
+        score += np.bincount(self.rows[places], np.repeat(weight[chosen], ends - begins) * self.weights[places], len(score))
 
 
 class Model(NamedTuple):
-    """What a fit gives, of a size that its parameters bound."""
+    """What a fit gives, of a size that its parameters bound. vocabulary: sorted hashes of terms; steps, chances: the calibration; otherwise: the chance without a neighbour."""
 
     vocabulary: np.ndarray
     idf: np.ndarray
@@ -110,16 +137,16 @@ class Model(NamedTuple):
     k: int
 
 
-def _isotonic(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+def _isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
     """Rising steps: from each of steps on, the chance of y. Each pool counts one more example at the prior."""
     order = np.argsort(x, kind="stable")
     pools: list[list[float]] = []
-    for value, label in zip(x[order], y[order]):
+    for value, label, w in zip(x[order].tolist(), y[order].tolist(), weight[order].tolist()):
         if pools and pools[-1][0] == value:
-            pools[-1][1] += label
-            pools[-1][2] += 1
+            pools[-1][1] += label * w
+            pools[-1][2] += w
         else:
-            pools.append([value, label, 1])
+            pools.append([value, label * w, w])
         while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
             _, s, n = pools.pop()
             pools[-1][1] += s
@@ -134,174 +161,162 @@ def _vote(labels: np.ndarray, scores: np.ndarray) -> float:
     return round(float((weight * labels).sum() / weight.sum()), 9)
 
 
-def _weigh(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+def _weigh(offsets: np.ndarray, terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Weights of the terms of several texts, scaled to length 1 each."""
     weight = (1 + np.log(counts)) * idf[terms]
-    return weight / max(math.sqrt(float((weight**2).sum())), 1e-300)
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    length = np.sqrt(np.bincount(owner, weight**2, len(offsets) - 1))
+    return weight / np.maximum(length, 1e-300)[owner]
 
 
 def _example_reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sign = _signer(3, 7, 2, 1)
     for batch in batches:
         for part in chunks(batch, "text"):
             words = words_of(part.column("text"))
-            owner = np.repeat(np.arange(part.num_rows), np.diff(words.offsets))
-            owner, terms, _ = _count(words.hashes, owner)
-            ids = part.column("doc_id").to_pylist()
-            halves = {}
-            for signed in sign(iter([part])):
-                halves |= dict(zip(signed.column("doc_id").to_pylist(), signed.column("halves").to_pylist()))
+            owner, terms, counts = _count(words.hashes, np.repeat(np.arange(part.num_rows), np.diff(words.offsets)))
+            offsets = np.searchsorted(owner, np.arange(part.num_rows + 1))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("toxic"), pa.array([halves.get(i, []) for i in ids], pa.list_(pa.int64())), list_array(pa.array(terms.view(np.int64)), np.searchsorted(owner, np.arange(part.num_rows + 1)))],
-                names=["doc_id", "toxic", "halves", "terms"],
+                [part.column("doc_id"), part.column("toxic"), pa.array(np.diff(offsets)), list_array(pa.array(terms.view(np.int64)), offsets), list_array(pa.array(counts, pa.int32()), offsets)],
+                names=["doc_id", "toxic", "n", "terms", "counts"],
             )
 
 
-def _copies(ids: np.ndarray, labels: np.ndarray, halves: list, side: int = 7) -> tuple[np.ndarray, dict[int, int]]:
-    """Ids without those that share a key with an earlier one of the same label; and for each id the group, whatever the label, that shared keys link it to."""
-    seen: set = set()
-    kept = []
-    root: dict[int, int] = {}
-    holder: dict[tuple, int] = {}
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        return i
-
-    for i, label, half in sorted(zip(ids.tolist(), labels.tolist(), halves), key=lambda x: x[0]):
-        keys = {(a, x, b, y) for a, x in enumerate(half[:side]) for b, y in enumerate(half[side:])}
-        marked = {(label, *key) for key in keys}
-        if seen.isdisjoint(marked):
-            kept.append(i)
-        seen |= marked
-        root[i] = i
-        for key in keys:
-            first = find(holder.setdefault(key, i))
-            root[find(i)] = first
-    return np.array(kept, np.int64), {i: find(i) for i in root}
-
-
-def _hit_finder(vocabulary: np.ndarray):
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _known(texts: pa.Array, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The range of each text, and in it its distinct terms that the vocabulary has, with their counts."""
+    words = words_of(texts)
+    at = np.searchsorted(vocabulary, words.hashes)
+    at[at == len(vocabulary)] = 0
+    hit = np.flatnonzero(vocabulary[at] == words.hashes) if len(vocabulary) else np.zeros(0, np.int64)
+    owner = np.searchsorted(words.offsets, hit, side="right") - 1
+    owner, terms, counts = _count(at[hit], owner)
+    return np.searchsorted(owner, np.arange(len(texts) + 1)), terms, counts
+
+
+def _frequencies(shared):
+    """Of each partition, in how many of its documents a term occurs; a row with term -1 counts the documents."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shared.value
+        total, n = np.zeros(len(vocabulary), np.int64), 0
         for batch in batches:
+            n += batch.num_rows
             for part in chunks(batch, "text"):
-                words = words_of(part.column("text"))
-                at = np.searchsorted(vocabulary, words.hashes)
-                at[at == len(vocabulary)] = 0
-                hit = np.flatnonzero(vocabulary[at] == words.hashes) if len(vocabulary) else np.zeros(0, np.int64)
-                owner = np.searchsorted(words.offsets, hit, side="right") - 1
-                owner, terms, counts = _count(at[hit], owner)
-                ranges = np.searchsorted(owner, np.arange(part.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), list_array(pa.array(terms, pa.int32()), ranges), list_array(pa.array(counts, pa.int32()), ranges)], names=["doc_id", "terms", "counts"])
+                total += np.bincount(_known(part.column("text"), vocabulary)[1], minlength=len(vocabulary))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(total[some], n), pa.int64())], names=["term", "n"])
 
-    return find
+    return count
 
 
-_HITS = "doc_id bigint, terms array<int>, counts array<int>"
+def _voter(shared):
+    """Votes on examples that are in the index, without themselves and their near copies; and the number of examples in their group."""
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = shared.value
+        for batch in batches:
+            lists = batch.column("terms")
+            offsets = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
+            terms = np.searchsorted(m.vocabulary, np.asarray(lists.flatten()).view(_U))
+            weights = _weigh(offsets, terms, np.asarray(batch.column("counts").flatten()), m.idf)
+            votes, sizes = [], []
+            near = m.index.nearest(offsets, terms, weights, m.k, COPY)
+            every = m.index.nearest(offsets, terms, weights, m.index.n_rows)
+            for (rows, scores), (_, other) in zip(near, every):
+                votes.append(_vote(m.labels[rows], scores) if len(rows) else None)
+                sizes.append(max(1, int((other >= COPY).sum())))
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column("toxic"), pa.array(sizes, pa.int64())], names=["vote", "toxic", "size"])
+
+    return vote
 
 
-def _scorer(shared):
-    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
+#: Examples of this similarity are copies of one text: they don't vote on each other, and count as one in the calibration.
+COPY = 0.8
+_EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 
+
+def _scorer(shared, shown: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        known: dict = {}
         for batch in batches:
-            scores, evidence = [], []
-            for terms, counts in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist()):
-                key = (*terms, -1, *counts)
-                if key not in known:
-                    if terms:
-                        at = np.array(terms)
-                        rows, near = m.index.nearest(at, _weigh(at, np.array(counts), m.idf), m.k)
-                        chance = m.otherwise
-                        if len(rows):
-                            vote = _vote(m.labels[rows], near)
-                            chance = float(m.chances[max(0, np.searchsorted(m.steps, vote, side="right") - 1)])
-                        known[key] = round(chance, 6), [{"doc_id": int(m.ids[r]), "similarity": round(float(s), 6), "toxic": int(m.labels[r])} for r, s in zip(rows, near)]
-                    else:
-                        known[key] = round(m.otherwise, 6), []
-                    if len(known) > 200_000:
-                        known = {key: known[key]}
-                scores.append(known[key][0])
-                evidence.append(known[key][1])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([s >= 0.5 for s in scores], pa.bool_()), pa.array(evidence, kind)], names=["doc_id", "score", "toxic", "evidence"])
+            for part in chunks(batch, "text"):
+                offsets, terms, counts = _known(part.column("text"), m.vocabulary)
+                scores, evidence = [], []
+                for rows, near in m.index.nearest(offsets, terms, _weigh(offsets, terms, counts, m.idf), m.k):
+                    chance = m.otherwise
+                    if len(rows):
+                        chance = float(m.chances[max(0, np.searchsorted(m.steps, _vote(m.labels[rows], near), side="right") - 1)])
+                    scores.append(round(chance, 6))
+                    rows, near = rows[:shown], near[:shown]
+                    evidence.append([{"doc_id": i, "similarity": round(s, 6), "toxic": y} for i, s, y in zip(m.ids[rows].tolist(), near.tolist(), m.labels[rows].tolist())])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64()), pa.array([s >= 0.5 for s in scores], pa.bool_()), pa.array(evidence, _EVIDENCE)], names=["doc_id", "score", "toxic", "evidence"])
 
     return score
 
 
-def _hits(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    return docs.mapInArrow(_hit_finder(vocabulary), _HITS)
+def _texts(docs: DataFrame) -> DataFrame:
+    return only(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, k: int = 15, max_examples: int = 20_000, chance: float = 0.05) -> tuple[Model, DataFrame]:
-    """The model, and every document's terms of its vocabulary (settled).
+def fit(docs: DataFrame, labels: DataFrame, k: int = 100, max_examples: int = 8192, max_terms: int = 4_000_000) -> Model:
+    """The model of the labelled documents.
 
-    ``max_examples`` bounds the labelled documents it learns from, those of
-    least hashed id; all documents count for the document frequencies. ``chance``:
-    of how many terms that don't go with the label one is expected to be taken for one that does.
+    ``max_examples`` and ``max_terms`` bound the labelled documents it learns
+    from, taken in order of their hashed ids: so many documents, and so many
+    distinct terms of theirs, each counted in every document. They bound what
+    is broadcast; all documents count for the document frequencies.
     """
-    docs = only(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    docs = _texts(docs)
+    context = docs.sparkSession.sparkContext
     marks = only(labels, doc_id="doc_id", toxic="toxic").where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sample = settle(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples))
-    read = docs.join(small(sample), "doc_id").mapInArrow(_example_reader, "doc_id bigint, toxic int, halves array<bigint>, terms array<bigint>")
-    examples = settle(read.where("size(halves) > 0").dropDuplicates(["doc_id"]))
-    signed = examples.select("doc_id", "toxic", "halves").toPandas()
-    kept, group = _copies(signed["doc_id"].to_numpy(np.int64), signed["toxic"].to_numpy(np.int64), [list(h) for h in signed["halves"]])
-    tested = settle(examples.join(F.broadcast(docs.sparkSession.createDataFrame(pa.table({"doc_id": kept}))), "doc_id").drop("halves"))
-    total, toxic = tested.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    rate = (toxic + 0.5) / (total + 1)
-    by_term = tested.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
-    share = F.col("t") / F.col("n")
-    # Chernoff's bound on the chance that so many of n documents are toxic
-    bound = F.col("n") * (share * F.log(share / rate) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - rate))).otherwise(0.0))
-    by_term = settle(by_term.where(F.col("t") > 0).withColumn("bound", bound).where(share > rate))
-    tried = by_term.count()
-    chosen = by_term.where(F.col("bound") >= math.log(max(tried, 1) / chance)).select("term").toPandas()["term"].to_numpy(np.int64)
-    vocabulary = np.sort(chosen.view(_U))
-    hits = settle(_hits(docs, vocabulary))
-    n_docs = hits.count()
-    seen = hits.select(F.explode("terms").alias("term")).groupBy("term").count().toPandas()
-    df = np.zeros(len(vocabulary))
-    df[seen["term"].to_numpy(np.int64)] = seen["count"]
-    idf = np.log1p(n_docs / np.maximum(df, 1))
-    own = _hits(docs.join(small(examples.select("doc_id", "toxic")), "doc_id").select("doc_id", "text"), vocabulary).where("size(terms) > 0").dropDuplicates(["doc_id"]).join(F.broadcast(examples.select("doc_id", "toxic")), "doc_id").toPandas().sort_values("doc_id")
-    vectors = [(np.array(t), _weigh(np.array(t), np.array(c), idf)) for t, c in zip(own["terms"], own["counts"])]
-    ids, y = own["doc_id"].to_numpy(np.int64), own["toxic"].to_numpy(np.int64)
-    flat = lambda i, kind: np.concatenate([v[i] for v in vectors]) if vectors else np.zeros(0, kind)
-    rows = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors]).astype(np.int64)
-    index = BlockMaxIndex(rows, flat(0, np.int64), flat(1, float), len(vectors), len(vocabulary))
-    groups = np.array([group[i] for i in ids.tolist()], np.int64)
-    once = np.isin(ids, kept)
-    together: dict[int, list[int]] = {}
-    for r, g in enumerate(groups.tolist()):
-        together.setdefault(g, []).append(r)
-    votes, voted = [], []
-    for r in np.flatnonzero(once):
-        near, scores = index.nearest(*vectors[r], k, skip=np.array(together[int(groups[r])]))
-        if len(near):
-            votes.append(_vote(y[near], scores))
-            voted.append(y[r])
-    steps, chances = _isotonic(np.array(votes), np.array(voted, float), rate) if votes else (np.zeros(1), np.full(1, rate))
-    rest, rest_toxic = total - int(once.sum()), toxic - int(y[once].sum())
-    return Model(vocabulary, idf, index, ids, y, steps, chances, (rest_toxic + rate) / (rest + 1) if total else 0.0, k), hits
-
-
-def score_toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """(doc_id, score, toxic, evidence) for every row of docs: the calibrated chance that it is toxic, whether that is at least one half, and the nearest labelled examples with their similarity and label.
-
-    A document with none of the vocabulary's terms, as one that is null, empty
-    or without words, has the score of such examples, and no evidence. Null
+    texts = docs.join(small(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    read = texts.select("doc_id", "toxic", "text").mapInArrow(_example_reader, "doc_id bigint, toxic int, n bigint, terms array<bigint>, counts array<int>")
+    examples = settle(read.where("n > 0"))
+    sizes = examples.select("doc_id", "n").orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
+    fitting = sizes["doc_id"][sizes["n"].cumsum() <= max_terms].to_numpy(np.int64)
+    kept = examples
+    if len(fitting) < len(sizes):
+        kept = examples.join(small(settle(docs.sparkSession.createDataFrame(pa.table({"doc_id": fitting})))), "doc_id")
+    table = kept.select("doc_id", "toxic", "terms", "counts").toArrow().sort_by("doc_id").combine_chunks()
+    ids, y = np.asarray(table["doc_id"]).astype(np.int64), np.asarray(table["toxic"]).astype(np.int32)
+    flat = lambda c, kind: np.asarray(table[c].combine_chunks().flatten() if len(ids) else [], kind)
+    hashes, counts = flat("terms", np.int64).view(_U), flat("counts", np.int32)
+    offsets = np.concatenate([[0], np.cumsum(np.asarray(table["terms"].combine_chunks().value_lengths()) if len(ids) else np.zeros(0, np.int64))]).astype(np.int64)
+    vocabulary, terms = np.unique(hashes, return_inverse=True)
+    seen = docs.select("text").mapInArrow(_frequencies(context.broadcast(vocabulary)), "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    at, n = np.asarray(seen["term"]), np.asarray(seen["n"])
+    df = np.ones(len(vocabulary))
+    df[at[at >= 0]] = n[at >= 0]
+    idf = np.log((1 + n[at < 0].sum()) / df)
+    rows = np.repeat(np.arange(len(ids)), np.diff(offsets))
+    index = BlockMaxIndex(rows, terms, _weigh(offsets, terms, counts, idf), len(ids), len(vocabulary))
+    rate = (float(y.sum()) + 0.5) / (len(y) + 1)
+    model = Model(vocabulary, idf, index, ids, y, np.zeros(1), np.full(1, rate), rate if len(y) else 0.0, k)
+    voted = kept.mapInArrow(_voter(context.broadcast(model)), "vote double, toxic int, size bigint").where("vote is not null").toArrow()
+    if len(voted):
+        steps, chances = _isotonic(np.asarray(voted["vote"]), np.asarray(voted["toxic"]).astype(float), 1 / np.asarray(voted["size"]), rate)
+        model = model._replace(steps=steps, chances=chances)
+    return model
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, shown: int = 10, **options) -> DataFrame:
+    """(doc_id, score, toxic, evidence) for every row of docs: the calibrated chance that it is toxic, whether that is at least one half, and the nearest ``shown`` of the ``k`` labelled examples that vote on it, with their similarity and label.
+
+    A document that shares no word with an example, as one that is null, empty
+    or without words, has the share of toxic examples as its score, and no
+    evidence. Very long texts are one vector of all their words. Null
     labels don't count; of several labels of a document the highest does. Of
     equally near examples, those of lower doc_id are taken. Null and repeated
-    doc_ids are scored row by row. Without labels every score is 0; an empty
+    doc_ids are scored row by row; of labelled rows that share one, the least text
+    is the example. Without labels every score is 0; an empty
     table gives an empty result. Other columns are ignored, whatever their names.
     """
-    model, hits = fit(docs, labels, **options)
-    return hits.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model)), "doc_id bigint, score double, toxic boolean, evidence array<struct<doc_id: bigint, similarity: double, toxic: int>>")
+    model = fit(docs, labels, **options)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return _texts(docs).mapInArrow(_scorer(shared, shown), "doc_id bigint, score double, toxic boolean, evidence array<struct<doc_id: bigint, similarity: double, toxic: int>>")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """docs without the documents found toxic. Rows with a null doc_id stay; rows that share a doc_id go together."""
-    gone = settle(score_toxicity(docs, labels, **options).where("toxic and doc_id is not null").select("doc_id").distinct())
+    gone = settle(score_toxicity(docs, labels, shown=0, **options).where("toxic and doc_id is not null").select("doc_id").distinct())
     return without(docs, gone, "doc_id")
