@@ -10,7 +10,8 @@ common shingle is the minimum of its bin on both sides then is about
 taken for which a pair at the threshold shares ``hits`` minima on average, as
 far as the smallest item allows it. An item has one sketch for each partition.
 One shared minimum makes a candidate; candidates are verified by exact
-containment of the word shingles.
+containment of the word shingles. Items of too few shingles for that many
+shared minima are searched by every shingle instead, without a miss.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from textloom.llm.common import BROADCAST_BYTES, only, settle, small, without
 from textloom.llm.text import Words, chunks, distinct, mix, shingles_of, words_of
 
 _U = np.uint64
+_WHOLE = _U(0x5851F42D4C957F2D)
 #: Partitions by size: documents of [2**c, 2**(c+1)) distinct shingles.
 CLASSES = 40
 
@@ -38,6 +40,11 @@ def _load(least: int, threshold: float, hits: float) -> float:
     return load
 
 
+def few(threshold: float, hits: float) -> int:
+    """Items of fewer shingles can't have so many shared minima, however many bins there are; they are searched by all their shingles."""
+    return math.ceil(hits / (threshold * (1 - math.exp(-0.25)) / 0.25))
+
+
 def _minima(values: np.ndarray, offsets: np.ndarray, classes: np.ndarray, load: float) -> tuple[np.ndarray, np.ndarray]:
     """One-permutation MinHash: for each range of distinct values, keys out of its partition, bin and least value there; and each key's range."""
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -70,7 +77,12 @@ def _keys(ids: pa.Array, keys: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), pa.array(keys.view(np.int64))], names=["id", "key"])
 
 
-def _item_sketcher(n: int, load: float):
+def _every(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A key of each distinct shingle, and each key's range."""
+    return mix(values ^ _WHOLE), np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+
+
+def _item_sketcher(n: int, load: float, least: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
@@ -81,7 +93,13 @@ def _item_sketcher(n: int, load: float):
                     same = count[owner] == length
                     yield _keys(ids, keys[same], owner[same])
                 values, offsets = distinct(*shingles_of(words, n))
-                full = np.flatnonzero(count >= n)
+                distinct_n = np.diff(offsets)
+                rare = np.flatnonzero((count >= n) & (distinct_n < least))
+                if len(rare):
+                    keys, owner = _every(values, offsets)
+                    some = np.isin(owner, rare)
+                    yield _keys(ids, keys[some], owner[some])
+                full = np.flatnonzero((count >= n) & (distinct_n >= least))
                 own = np.concatenate([np.arange(offsets[k], offsets[k + 1]) for k in full]) if len(full) else np.zeros(0, np.int64)
                 ranges = np.concatenate([[0], np.cumsum(np.diff(offsets)[full])])
                 for c in range(CLASSES):
@@ -91,7 +109,7 @@ def _item_sketcher(n: int, load: float):
     return sketch
 
 
-def _document_sketcher(n: int, load: float, lengths: list[int], wanted):
+def _document_sketcher(n: int, load: float, lengths: list[int], every: bool, wanted):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = wanted.value if wanted is not None else None
 
@@ -107,6 +125,8 @@ def _document_sketcher(n: int, load: float, lengths: list[int], wanted):
                 for length in lengths:
                     yield known(ids, *_short(words, length))
                 values, offsets = distinct(*shingles_of(words, n))
+                if every:
+                    yield known(ids, *_every(values, offsets))
                 yield known(ids, *_minima(values, offsets, _sizes(np.diff(offsets)), load))
 
     return sketch
@@ -138,7 +158,10 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, threshold: fl
     n words counts as one shingle, all its words in a row. Null or empty texts
     and texts without a word neither hold nor are held; rows with null ids are
     left out. Where several rows share an id, the highest containment counts.
-    Pairs exactly at the threshold are found. Empty tables give an empty
+    Pairs exactly at the threshold count. Very long texts are compared whole.
+    Items of fewer shingles than ``few(threshold, hits)`` are found without a
+    miss; a larger one at the threshold shares ``hits`` minima on average, and is missed with a
+    chance of about exp(-hits). Empty tables give an empty
     result. Other columns are ignored, whatever their names.
 
     ``limit``: bytes of item keys up to which the scan of the documents drops
@@ -147,16 +170,20 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, threshold: fl
     spark = docs.sparkSession
     docs = only(docs, id="doc_id", text="text").withColumn("id", F.col("id").cast("bigint")).where("id is not null")
     items = settle(only(items, id="item_id", text="text").withColumn("id", F.col("id").cast("bigint")).where("id is not null and text is not null").distinct())
-    sizes = items.mapInArrow(_item_sizes(n), "words bigint, shingles bigint").groupBy((F.col("words") < n).alias("is_short"), F.when(F.col("words") < n, F.col("words")).alias("words")).agg(F.min("shingles").alias("least")).collect()
-    lengths = sorted(r["words"] for r in sizes if r["is_short"] and r["words"])
-    load = _load(min((r["least"] for r in sizes if not r["is_short"]), default=1), threshold, hits)
-    keys = settle(items.mapInArrow(_item_sketcher(n, load), "id bigint, key bigint").distinct())
+    least = few(threshold, hits)
+    rare = F.col("shingles") < least
+    # a row for each short length, one for items of few shingles, and one for all others
+    sizes = items.mapInArrow(_item_sizes(n), "words bigint, shingles bigint").groupBy(F.when(F.col("words") < n, F.col("words")).alias("words"), rare.alias("rare")).agg(F.min("shingles").alias("least")).collect()
+    lengths = sorted(r["words"] for r in sizes if r["words"])
+    every = any(r["rare"] for r in sizes if r["words"] is None)
+    load = _load(min((r["least"] for r in sizes if r["words"] is None and not r["rare"]), default=least), threshold, hits)
+    keys = settle(items.mapInArrow(_item_sketcher(n, load, least), "id bigint, key bigint").distinct())
     count = keys.count()
     wanted = None
     if count * 8 <= limit:
         near = np.unique(np.array(keys.select("key").distinct().toPandas()["key"], np.int64).view(_U))
         wanted = spark.sparkContext.broadcast(near if len(near) else np.zeros(1, _U))
-    sketches = docs.mapInArrow(_document_sketcher(n, load, lengths, wanted), "id bigint, key bigint")
+    sketches = docs.mapInArrow(_document_sketcher(n, load, lengths, every, wanted), "id bigint, key bigint")
     met = sketches.withColumnRenamed("id", "doc_id").join(small(keys.withColumnRenamed("id", "item_id"), limit), "key")
     pairs = settle(met.select("doc_id", "item_id").distinct())
     named = settle(pairs.join(small(items.select(F.col("id").alias("item_id"), F.col("text").alias("item_text")), limit), "item_id"))
