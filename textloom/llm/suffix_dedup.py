@@ -11,6 +11,14 @@ Every passage of ``passage`` words holds the least of its runs of ``base``
 words, its anchor, and equal passages have equal anchors (winnowing); so a
 position whose anchor stands at one place of the corpus only is unique already.
 This drops nothing that repeats. Documents of equal words are sorted once.
+
+Ranks are named by 64-bit hashes, and two runs are one only if both of a pair's
+ranks are equal, which is 128 bits together; they aren't compared word by word.
+
+Classes of so many positions that they would overload the task that sorts them
+are found from a sample of positions (at most ``HOT`` of them, as each holds
+more than that share of the sample). Their first positions come from a
+pre-aggregated minimum instead of a sort, with the same names.
 """
 
 from __future__ import annotations
@@ -24,9 +32,13 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import BROADCAST_BYTES, only, settle, small
 from textloom.llm.near_dedup import docs_repeat
-from textloom.llm.text import Words, chunks, list_array, spans_hash, words_of
+from textloom.llm.text import Words, chunks, list_array, mix, spans_hash, words_of
 
 _U = np.uint64
+#: A class with more than one in so many of the sampled positions isn't sorted by one task.
+HOT = 4096
+#: One position in so many is sampled to find such classes.
+SAMPLED = 64
 
 
 def _sliding(pick: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
@@ -55,7 +67,7 @@ def _whole(words: Words) -> np.ndarray:
     return spans_hash(words.hashes, words.offsets[:-1], np.diff(words.offsets))
 
 
-def _surveyor(passage: int, base: int):
+def _surveyor(passage: int, base: int, sampled: int):
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
@@ -70,10 +82,22 @@ def _surveyor(passage: int, base: int):
                     most = np.zeros(len(grams) + width - 1, _U)
                     most[starts + width - 1] = least
                     chosen = np.flatnonzero(_sliding(np.maximum, most, width) == grams)
-                ranges = np.searchsorted(chosen, np.append(words.offsets[:-1][long], len(words.hashes)))
+                bounds = np.append(words.offsets[:-1][long], len(words.hashes))
+                ranges = np.searchsorted(chosen, bounds)
+                # positions sampled for the sizes of classes, by a hash of where they stand and not of what stands there
+                owner = np.searchsorted(words.offsets, starts, side="right") - 1
+                ids = np.asarray(part.column("doc_id")).astype(_U)[owner]
+                drawn = starts[mix(mix(ids) + (starts - words.offsets[owner]).astype(_U)) % _U(sampled) == 0]
+                pairs = spans_hash(words.hashes, drawn, 2 * base) if len(drawn) else np.zeros(0, _U)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(long)), pa.array(_whole(words)[long].view(np.int64)), pa.array(count[long]), list_array(pa.array(grams[chosen].view(np.int64)), ranges)],
-                    names=["doc_id", "whole", "n_words", "anchors"],
+                    [
+                        part.column("doc_id").take(pa.array(long)),
+                        pa.array(_whole(words)[long].view(np.int64)),
+                        pa.array(count[long]),
+                        list_array(pa.array(grams[chosen].view(np.int64)), ranges),
+                        list_array(pa.array(pairs.view(np.int64)), np.searchsorted(drawn, bounds)),
+                    ],
+                    names=["doc_id", "whole", "n_words", "anchors", "drawn"],
                 )
 
     return survey
@@ -87,7 +111,7 @@ def _offsets(passage: int, base: int) -> list[int]:
     return offsets
 
 
-def _positions(passage: int, base: int):
+def _positions(passage: int, base: int, hot: np.ndarray):
     # a passage's rank comes to hang on the ranks at these places after its start
     needed = np.zeros(1, np.int64)
     for offset in _offsets(passage, base)[1:]:
@@ -101,15 +125,16 @@ def _positions(passage: int, base: int):
                 marks = np.asarray(part.column("anchors").flatten()).view(_U)
                 keep = np.unique((starts[np.isin(least, marks)][:, None] + needed).ravel())
                 owner = np.searchsorted(words.offsets, keep, side="right") - 1
+                large = np.isin(spans_hash(words.hashes, keep, 2 * base), hot) if len(keep) else np.zeros(0, bool)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(owner)), pa.array(keep - words.offsets[owner], pa.int32()), pa.array(grams[keep].view(np.int64)), pa.array(grams[keep + base].view(np.int64))],
-                    names=["doc_id", "pos", "rank", "next"],
+                    [part.column("doc_id").take(pa.array(owner)), pa.array(keep - words.offsets[owner], pa.int32()), pa.array(grams[keep].view(np.int64)), pa.array(grams[keep + base].view(np.int64)), pa.array(large)],
+                    names=["doc_id", "pos", "rank", "next", "hot"],
                 )
 
     return positions
 
 
-def repeated_passages(docs: DataFrame, passage: int = 50, base: int = 13, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, passage: int = 50, base: int = 13, id_column: str = "doc_id", text_column: str = "text", sampled: int = SAMPLED) -> DataFrame:
     """(doc_id, whole, first_word, n_words, first_doc): the stretches of words that repeat an earlier passage, earlier by (doc_id, word).
 
     Every run of ``passage`` words that stands at an earlier place too belongs
@@ -118,11 +143,14 @@ def repeated_passages(docs: DataFrame, passage: int = 50, base: int = 13, id_col
     document's words. A repetition that overlaps its own first occurrence, as in one
     word said over and over, counts from where it no longer does.
 
-    Words are compared without case and punctuation. Null or empty texts and
+    Words are compared without case and punctuation. Of equal passages the one
+    of the least (doc_id, word) is the first, so ties don't arise. Very long
+    texts are searched whole. Null or empty texts and
     texts of fewer than ``passage`` words repeat nothing. Rows with a null
     doc_id are left out; rows that share a doc_id are one document, whose
     least text counts. An empty table gives an empty result. Other columns are
-    ignored, whatever their names.
+    ignored, whatever their names. ``sampled`` only bears on how large classes
+    are found and spread over tasks.
     """
     if passage < 2 * base or base < 1:
         raise ValueError("a passage has at least twice as many words as the base")
@@ -130,25 +158,26 @@ def repeated_passages(docs: DataFrame, passage: int = 50, base: int = 13, id_col
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
     if docs_repeat(docs):
         docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
-    survey = settle(docs.mapInArrow(_surveyor(passage, base), "doc_id bigint, whole bigint, n_words bigint, anchors array<bigint>"))
-    equal = Window.partitionBy("whole", "n_words")
-    least = survey.select("doc_id", "whole", "n_words", F.min("doc_id").over(equal).alias("first_doc"))
-    copies = settle(least.where("doc_id <> first_doc"))
+    survey = settle(docs.mapInArrow(_surveyor(passage, base, sampled), "doc_id bigint, whole bigint, n_words bigint, anchors array<bigint>, drawn array<bigint>"))
+    equal = settle(survey.groupBy("whole", "n_words").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    copies = settle(survey.join(small(equal), ["whole", "n_words"]).where("doc_id <> first_doc").select("doc_id", "whole", "n_words", "first_doc"))
     # sorting copies again would only find them again
-    anchors = survey.join(small(copies.select("doc_id")), "doc_id", "left_anti").select("doc_id", F.explode("anchors").alias("anchor"))
-    same = Window.partitionBy("anchor")
-    shared = anchors.withColumn("n", F.count("*").over(same)).where("n > 1")
-    marked = settle(shared.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
+    own = survey.join(small(copies.select("doc_id")), "doc_id", "left_anti")
+    anchors = own.select("doc_id", F.explode("anchors").alias("anchor"))
+    # an anchor of one document that stands there twice is shared too
+    shared = settle(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
+    marked = settle(anchors.join(small(shared), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
+    drawn = own.select(F.explode("drawn").alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
+    total = own.agg(F.sum(F.size("drawn"))).first()[0] or 0
+    hot = np.array([r["pair"] for r in drawn.where(F.col("n") > max(total // HOT, 16)).select("pair").collect()], np.int64).view(_U)
     rows = docs.join(_small_lists(marked), "doc_id").select("doc_id", "text", "anchors")
-    ranked = rows.mapInArrow(_positions(passage, base), "doc_id bigint, pos int, rank bigint, next bigint")
+    ranked = rows.mapInArrow(_positions(passage, base, hot), "doc_id bigint, pos int, rank bigint, next bigint, hot boolean")
     for offset in [*_offsets(passage, base)[1:], None]:
-        pair = Window.partitionBy("rank", "next")
-        order = pair.orderBy("doc_id", "pos")
-        named = ranked.select("doc_id", "pos", F.first("doc_id").over(order).alias("at_doc"), F.first("pos").over(order).alias("at_pos"), F.count("*").over(pair).alias("n"))
-        named = named.where("n > 1").drop("n")
+        named = _named(ranked, len(hot) > 0)
         if offset:
+            # a longer run has its first half's class, and so no class is in part hot
             ahead = Window.partitionBy("doc_id").orderBy("pos").rangeBetween(offset, offset)
-            ranks = named.select("doc_id", "pos", F.xxhash64("at_doc", "at_pos").alias("rank"))
+            ranks = named.select("doc_id", "pos", F.xxhash64("at_doc", "at_pos").alias("rank"), "hot")
             ranked = ranks.withColumn("next", F.first("rank").over(ahead)).where("next is not null")
     again = named.where(~((F.col("doc_id") == F.col("at_doc")) & (F.col("pos") - F.col("at_pos") < passage)))
     along = Window.partitionBy("doc_id").orderBy("pos")
@@ -162,6 +191,21 @@ def repeated_passages(docs: DataFrame, passage: int = 50, base: int = 13, id_col
     return found.unionByName(entire)
 
 
+def _named(ranked: DataFrame, split: bool) -> DataFrame:
+    """The positions (doc_id, pos, hot) whose pair of ranks isn't unique, with the first position of their class (at_doc, at_pos)."""
+    pair = Window.partitionBy("rank", "next")
+    order = pair.orderBy("doc_id", "pos")
+    cold = ranked.where("not hot") if split else ranked
+    named = cold.select("doc_id", "pos", "hot", F.first("doc_id").over(order).alias("at_doc"), F.first("pos").over(order).alias("at_pos"), F.count("*").over(pair).alias("n"))
+    named = named.where("n > 1").drop("n")
+    if not split:
+        return named
+    large = ranked.where("hot")
+    first = settle(large.groupBy("rank", "next").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.count("*").alias("n")).where("n > 1"))
+    met = large.join(small(first), ["rank", "next"])
+    return named.unionByName(met.select("doc_id", "pos", "hot", F.col("at.doc_id").alias("at_doc"), F.col("at.pos").alias("at_pos")))
+
+
 def _small_lists(marked: DataFrame) -> DataFrame:
     size = marked.agg(F.sum(F.lit(64) + 8 * F.size("anchors"))).first()[0] or 0
     return F.broadcast(marked) if size <= BROADCAST_BYTES else marked
@@ -194,16 +238,19 @@ def drop_repeats(docs: DataFrame, passage: int = 50, base: int = 13, id_column:
 
     A stretch goes with the characters up to the next word that stays. All
     other rows stay as they are, with null ids and texts too. Of rows that
-    share a doc_id, those with the least text are cut.
+    share a doc_id, those with the least text are cut. Very long texts are cut
+    whole; an empty table stays empty; docs' other columns come back as they
+    are, whatever their names.
     """
     spans = repeated_passages(docs, passage, base, id_column, text_column).groupBy("doc_id").agg(F.collect_list(F.struct("whole", "first_word", "n_words")).alias("spans"))
-    spans = settle(spans.withColumnRenamed("doc_id", id_column))
+    spans = settle(spans)
     size = spans.agg(F.sum(F.lit(64) + 40 * F.size("spans"))).first()[0] or 0
-    given = spans.select(F.col(id_column).alias("__id"), F.col("spans").alias("__spans"))
-    given = F.broadcast(given) if size <= BROADCAST_BYTES else given
-    joined = docs.join(given, docs[f"`{id_column}`"] == F.col("__id"), "left")
+    given = F.broadcast(spans) if size <= BROADCAST_BYTES else spans
+    # what docs carries stands in one column of ours, so that no name of it can clash
     rest = [c for c in docs.columns if c != text_column]
-    inner = joined.select(F.struct(*(docs[f"`{c}`"] for c in rest)).alias("rest"), docs[f"`{text_column}`"].alias("text"), F.col("__spans").alias("spans"))
+    packed = docs.select(F.struct(*(docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(rest))).alias("rest"), docs[f"`{text_column}`"].alias("text"), docs[f"`{id_column}`"].cast("bigint").alias("doc_id"))
+    inner = packed.join(given, "doc_id", "left").select("rest", "text", "spans")
     kinds = {f.name: f.dataType for f in inner.schema.fields}
     done = inner.mapInArrow(_cutter(["rest"]), f"rest {kinds['rest'].simpleString()}, text string, emptied boolean").where("not emptied")
-    return done.select(*(F.col("text").alias(c) if c == text_column else F.col("rest").getField(c).alias(c) for c in docs.columns))
+    place = {c: f"c{i}" for i, c in enumerate(rest)}
+    return done.select(*(F.col("text").alias(c) if c == text_column else F.col("rest").getField(place[c]).alias(c) for c in docs.columns))
