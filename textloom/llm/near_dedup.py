@@ -111,7 +111,8 @@ def near_duplicates(docs: DataFrame, n: int = 3, threshold: float = 0.5, side: i
     all pairs of documents that aren't known to be connected are verified, so
     no bucket is cut short.
 
-    Null or empty texts, and texts without a word, are nobody's copies. Rows
+    Null or empty texts, and texts without a word, are nobody's copies. Very
+    long texts are compared whole. Rows
     with a null doc_id are left out. Rows that share a doc_id are one document,
     whose least text counts. A text of fewer than n words has one shingle.
     Ties don't arise: ids are ordered. An empty table gives an empty result.
@@ -124,36 +125,42 @@ def near_duplicates(docs: DataFrame, n: int = 3, threshold: float = 0.5, side: i
     if docs_repeat(docs):
         source = docs = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
     signed = settle(signatures(source, n, side, half))
-    equal = Window.partitionBy("same")
-    one = settle(signed.withColumn("first", F.min("doc_id").over(equal)))
-    copies = one.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    # smaller sides that a hot group's rows are joined with are pre-aggregated; the group itself is never gathered
+    equal = settle(signed.groupBy("same").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    copies = settle(signed.select("doc_id", "same").join(small(equal), "same").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
+    one = signed.join(small(copies.select(F.col("b").alias("doc_id"))), "doc_id", "left_anti")
     left, right = F.slice("halves", 1, side), F.slice("halves", side + 1, side)
     keys = F.flatten(F.transform(left, lambda x, i: F.transform(right, lambda y, j: F.xxhash64(x, y, i * side + j))))
-    rows = one.where("doc_id = first").select("doc_id", F.explode(keys).alias("key"))
-    bucket = Window.partitionBy("key")
-    members = settle(rows.select("doc_id", "key", F.min("doc_id").over(bucket).alias("low"), F.max("doc_id").over(bucket).alias("high")).where("low < high").drop("high"))
+    rows = one.select("doc_id", F.explode(keys).alias("key"))
+    met = settle(rows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high"))
+    members = settle(rows.join(small(met), "key"))
     # first each document with the least of all that it meets, which connects most of what belongs together
     tested = settle(members.groupBy(F.col("doc_id").alias("b")).agg(F.min("low").alias("a")).where("a < b").select("a", "b"))
-    good = settle(verified(docs, tested, n, threshold))
+    links, roots = settle(verified(docs, tested, n, threshold)), None
     for every in (False, True):
         # then, in each bucket, one of each component with the bucket's least; at last all that are still apart
-        roots = components(good)
+        roots = components(links) if roots is None else roots
         at = members.join(roots, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-        apart = at.select("*", F.min("root").over(bucket).alias("low"), F.max("root").over(bucket).alias("high")).where("low < high")
+        mixed = settle(at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").drop("high"))
+        apart = settle(at.join(small(mixed), "key"))
         if every:
-            apart = apart.select("key", "doc_id", "root")
+            # members meet only where a bucket has several components
             other = apart.select("key", F.col("doc_id").alias("doc2"), F.col("root").alias("root2"))
             pairs = apart.join(other, "key").where("doc_id < doc2 and root <> root2").select(F.col("doc_id").alias("a"), F.col("doc2").alias("b"))
         else:
-            each = apart.groupBy("key", "root").agg(F.min("doc_id").alias("doc_id"))
-            heads = each.select("doc_id", "root", F.first("doc_id").over(bucket.orderBy("root")).alias("head"), F.first("root").over(bucket.orderBy("root")).alias("top"))
-            pairs = heads.where("root <> top").select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b"))
+            each = apart.groupBy("key", "root", "low").agg(F.min("doc_id").alias("doc_id"))
+            heads = each.where("root = low").select("key", F.col("doc_id").alias("head"))
+            pairs = each.where("root <> low").join(heads, "key").select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b"))
         fresh = settle(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
         if fresh.isEmpty():
             continue
-        good = settle(good.unionByName(verified(docs, fresh, n, threshold)))
+        # what is connected already goes on as its stars
+        stars = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+        links, roots = settle(stars.unionByName(verified(docs, fresh, n, threshold))), None
         tested = tested.unionByName(fresh)
-    roots = components(good.unionByName(copies))
+    if roots is not None:
+        links = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    roots = components(links.unionByName(copies))
     return roots.where("node <> root").select(F.col("node").alias(id_column), F.col("root").alias("duplicate_of"))
 
 
