@@ -64,23 +64,22 @@ def parse_record(data: bytes) -> tuple[int | None, str | None, str | None]:
 
 
 def build_dictionary(records: list[bytes], size: int) -> bytes:
-    """A dictionary from all the records; empty if they are too few or too small to build one."""
+    """A dictionary from all the records. Where they are too few or too small to train one, or nothing in them repeats, the end of their bytes is one as it is."""
     total = sum(map(len, records))
-    if len(records) < 8 or total < 4096:
-        return b""
-    try:
-        return zstandard.train_dictionary(min(size, max(256, total // 10)), records, k=256, d=8).as_bytes()
-    except zstandard.ZstdError:  # nothing repeats
-        return b""
+    for samples in (records, records * 8):
+        try:
+            return zstandard.train_dictionary(min(size, max(256, total // 10)), samples, k=256, d=8).as_bytes()
+        except zstandard.ZstdError:
+            pass
+    return b"".join(records)[-size:]
 
 
 def pack(records: list[bytes], dictionary_bytes: int, level: int) -> tuple[bytes, list[tuple[int, int]]]:
     """A whole file, and each record's offset and length in it."""
     own = build_dictionary(records, dictionary_bytes)
-    packed = zstandard.ZstdCompressor(level=19).compress(own) if own else b""
+    packed = zstandard.ZstdCompressor(level=19).compress(own)
     parts = [struct.pack("<II", DICTIONARY_FRAME, len(packed)) + packed]
-    shared = zstandard.ZstdCompressionDict(own) if own else None
-    press = zstandard.ZstdCompressor(level=level, dict_data=shared, write_checksum=True) if shared else zstandard.ZstdCompressor(level=level, write_checksum=True)
+    press = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(own), write_checksum=True)
     at, places = len(parts[0]), []
     for record in records:
         frame = press.compress(record)
@@ -95,9 +94,8 @@ def unpack(data: bytes) -> Iterator[bytes]:
     magic, length = struct.unpack_from("<II", data)
     if magic != DICTIONARY_FRAME:
         raise ValueError("no dictionary frame leads the file")
-    packed = data[8 : 8 + length]
-    own = zstandard.ZstdDecompressor().decompress(packed) if packed else b""
-    open_ = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(own)) if own else zstandard.ZstdDecompressor()
+    own = zstandard.ZstdDecompressor().decompress(data[8 : 8 + length])
+    open_ = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(own))
     rest = memoryview(data)[8 + length :]
     while len(rest):
         one = open_.decompressobj()
