@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from textloom.llm import bpe, embedding_dedup, html_extract, license_scan, lm_score, warc
+from textloom.llm import bpe, embedding_dedup, html_extract, license_scan, lm_score, toxicity, warc
 from textloom.llm import queries as Q
 from textloom.llm.decontaminate import contained_items, drop_contaminated
 from textloom.llm.near_dedup import drop_near_duplicates, near_duplicates
@@ -41,7 +41,8 @@ def odd(spark):
     """Nulls, empties, repeated rows, ties, and columns whose names the operators use themselves."""
     rows = [(1, prose(1, 200)), (1, prose(1, 200)), (None, prose(2, 200)), (3, None), (4, ""), (5, "!!!"), (6, prose(3, 60000)), (7, "one")]
     frame = make(spark, rows)
-    return frame.selectExpr("*", "1 as root", "2 as key", "'x' as node", "3 as label", "4 as rest", "5 as pos")
+    ours = "root key label rest pos __id __spans spans emptied n gone halves same low head first id terms c0 c1 text_ evidence".split()
+    return frame.selectExpr("*", "'x' as node", "7 as `a.b`", *(f"{i} as {c}" for i, c in enumerate(ours)))
 
 
 def test_near_duplicates_against_all_pairs(spark):
@@ -99,7 +100,8 @@ def test_a_toxic_edit_of_a_clean_example_stays_an_example(spark):
     labels = spark.createDataFrame([(i, 1, int(bad[i])) for i in range(0, 400, 2)] + [(-3, 1, 0), (-2, 1, 1), (-1, 1, 1)], "doc_id bigint, quality int, toxic int")
     scored = {r["doc_id"]: r for r in score_toxicity(make(spark, docs), labels).collect()}
     held = next(i for i in range(1, 400, 2) if bad[i])
-    assert scored[held]["toxic"] and [(e["doc_id"], e["toxic"]) for e in scored[held]["evidence"]][:2] == [(-2, 1), (-1, 1)]
+    # by the cosine of all terms, the edits are nearest to each other and then to the text they come from
+    assert scored[held]["toxic"] and [(e["doc_id"], e["toxic"]) for e in scored[-2]["evidence"]][:3] == [(-2, 1), (-1, 1), (-3, 0)]
     assert scored[-2]["toxic"] and not scored[-3]["toxic"]
 
 
@@ -164,10 +166,97 @@ def test_near_vectors_against_all_pairs(spark):
     assert embedding_dedup.near_vectors(table.limit(0)).count() == 0
 
 
-def test_window_collisions():
+def test_window_pairs_against_brute_force():
     rng = np.random.default_rng(3)
-    a, b = rng.standard_normal((20, 7)), rng.standard_normal((30, 7))
-    assert (embedding_dedup.collisions(a, b, 0.4) == (np.abs(a[:, None] - b[None]) <= 0.4).sum(2)).all()
+    places = rng.standard_normal((60, 7))
+    marks, group, side = embedding_dedup.sketch(places), rng.integers(0, 3, 60), np.zeros(60, np.int64)
+    reach = embedding_dedup.reach_of(0.4)
+    for side in (np.zeros(60, np.int64), rng.integers(1, 3, 60)):
+        found = set()
+        for p, q in embedding_dedup.window_pairs(group, marks, side, reach, 3):
+            found |= {(min(x), max(x)) for x in zip(p.tolist(), q.tolist())}
+        want, sure = set(), set()
+        for i, j in itertools.combinations(range(60), 2):
+            if group[i] == group[j] and (side[i] != side[j] or side[i] == 0):
+                apart = np.abs(marks[i].astype(int) - marks[j])
+                if apart[0] <= reach and (apart <= reach).sum() >= 3:
+                    want.add((i, j))
+                near = np.abs(places[i] - places[j]) <= 0.4
+                if near[0] and near.sum() >= 3:
+                    sure.add((i, j))
+        assert found == want and sure <= found
+
+
+def test_hot_cells_of_vectors_lose_no_link(spark):
+    rng = np.random.default_rng(1)
+    w = rng.standard_normal((1500, 32))
+    w[500:1000] = w[0] + 0.15 * rng.standard_normal((500, 32))
+    w[1250:1300] = w[1200] + 0.15 * rng.standard_normal((50, 32))
+    unit = w / np.linalg.norm(w, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.9) & ~np.eye(1500, dtype=bool)
+    want = {int(i) for i in range(1500) if near[i, :i].any()}
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(w)] + [(i, x.tolist()) for i, x in enumerate(w[:3])], "vec_id bigint, embedding array<double>").selectExpr("*", "1 as v", "2 as root", "3 as cell", "4 as dim", "5 as x")
+    got = {r["vec_id"]: r["duplicate_of"] for r in embedding_dedup.near_vectors(table, most=64).collect()}
+    assert set(got) <= want and len(got) >= 0.98 * len(want)
+    assert all(got[i] == 0 for i in range(500, 1000) if i in got)
+
+
+def test_nearest_examples_against_brute_force():
+    rng = np.random.default_rng(2)
+    n, m = 700, 900
+    dense = np.where(rng.random((n, m)) < 0.03, rng.random((n, m)), 0)
+    dense[:, :5] = rng.random((n, 5))
+    dense[5] = dense[9] = dense[3]  # ties
+    dense[7] = 0
+    rows, terms = np.nonzero(dense)
+    index = toxicity.BlockMaxIndex(rows, terms, dense[rows, terms], n, m)
+    asked = np.where(rng.random((200, m)) < 0.03, rng.random((200, m)), 0)
+    asked[3], asked[11] = dense[3], 0
+    owner, asked_terms = np.nonzero(asked)
+    offsets = np.searchsorted(owner, np.arange(201))
+    scores = asked @ dense.T
+    for k, below in ((1, np.inf), (15, np.inf), (100, 1.5), (n, np.inf)):
+        for q, (found, near) in enumerate(index.nearest(offsets, asked_terms, asked[owner, asked_terms], k, below)):
+            fit = [r for r in np.lexsort((np.arange(n), -np.round(scores[q], 9))) if 0 < scores[q, r] < below][:k]
+            assert found.tolist() == fit and np.allclose(near, scores[q, fit])
+
+
+def test_evidence_is_the_nearest_of_all_labelled_documents(spark):
+    docs = [(i, prose(i, 60)) for i in range(120)] + [(200, None), (201, "")]
+    labels = spark.createDataFrame([(i, 1, i % 3 == 0) for i in range(0, 120, 2)], "doc_id bigint, quality int, toxic boolean")
+    got = {r["doc_id"]: r["evidence"] for r in score_toxicity(make(spark, docs), labels, shown=5).collect()}
+    bags = {i: {w: words(t).count(w) for w in set(words(t))} for i, t in docs}
+    df = {w: sum(w in b for b in bags.values()) for b in bags.values() for w in b}
+    held = {w for i in range(0, 120, 2) for w in bags[i]}
+    vectors = {i: {w: (1 + math.log(c)) * math.log((1 + len(bags)) / df[w]) for w, c in b.items() if w in held} for i, b in bags.items()}
+    size = {i: math.sqrt(sum(x * x for x in v.values())) for i, v in vectors.items()}
+    for i in (1, 2, 77):
+        near = {j: sum(x * vectors[j].get(w, 0) for w, x in vectors[i].items()) / size[i] / size[j] for j in range(0, 120, 2)}
+        want = sorted((j for j in near if near[j] > 0), key=lambda j: (-round(near[j], 9), j))[:5]
+        assert [e["doc_id"] for e in got[i]] == want
+        assert all(e["similarity"] == pytest.approx(near[e["doc_id"]], abs=2e-6) for e in got[i])
+    assert got[200] == got[201] == []
+
+
+def test_short_items_are_found_without_a_miss(spark):
+    items = [(i, prose(900 + i, 5 + i % 12)) for i in range(60)]
+    docs = [(i, prose(i, 500) + " " + items[i][1] + " " + prose(300 + i, 400)) for i in range(60)]
+    found = {(r["doc_id"], r["item_id"]) for r in contained_items(make(spark, docs), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert {(i, i) for i in range(60)} <= found
+    assert all(len(shingles(docs[d][1], 5) & shingles(items[i][1], 5)) >= 0.5 * len(shingles(items[i][1], 5)) for d, i in found)
+
+
+def test_a_passage_in_many_documents_is_cut_from_all_but_the_first(spark):
+    passage = prose(77, 60)
+    docs = make(spark, [(i, prose(i, 29) + f" u{i} " + passage + f" v{i} " + prose(500 + i, 29)) for i in range(40)])
+    found = {(r["doc_id"], r["first_word"], r["n_words"], r["first_doc"]) for r in repeated_passages(docs, sampled=1).collect()}
+    assert found == {(i, 30, 60, 0) for i in range(1, 40)} == {(r["doc_id"], r["first_word"], r["n_words"], r["first_doc"]) for r in repeated_passages(docs).collect()}
+
+
+def test_small_archives_have_a_dictionary_too():
+    for records in ([b"x" * 150], [b"WARC/1.1 " + bytes([i]) * 40 for i in range(3)]):
+        data, places = warc.pack(records, 4096, 6)
+        assert int.from_bytes(data[4:8], "little") > 0 and list(warc.unpack(data)) == records and len(places) == len(records)
 
 
 def test_warc_round_trip(spark, tmp_path):

@@ -157,7 +157,8 @@ def _isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: float) ->
 def _vote(labels: np.ndarray, scores: np.ndarray) -> float:
     if not len(scores):
         return 0.0
-    weight = 1 / (1.05 - np.minimum(scores, 1))
+    # nearly flat among texts that share some words, and decisive for the same text
+    weight = 1 / (1.0005 - np.minimum(scores, 1))
     return round(float((weight * labels).sum() / weight.sum()), 9)
 
 
@@ -257,13 +258,15 @@ def _texts(docs: DataFrame) -> DataFrame:
     return only(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, k: int = 100, max_examples: int = 8192, max_terms: int = 4_000_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, k: int = 200, max_examples: int = 8192, max_terms: int = 4_000_000) -> Model:
     """The model of the labelled documents.
 
     ``max_examples`` and ``max_terms`` bound the labelled documents it learns
     from, taken in order of their hashed ids: so many documents, and so many
     distinct terms of theirs, each counted in every document. They bound what
-    is broadcast; all documents count for the document frequencies.
+    is broadcast; all documents count for the document frequencies. ``k`` of
+    them vote on a document. A text holds many rare words beside the few that
+    tell, so the nearest ones alone are a poor guide, and many have to vote.
     """
     docs = _texts(docs)
     context = docs.sparkSession.sparkContext
