@@ -80,23 +80,43 @@ class BlockMaxIndex:
     def nearest(self, offsets: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, below: float = np.inf) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each query, a range of terms and weights, the k rows of largest inner product above zero, and it; of equal ones the lower row first. Rows of ``below`` and more are left out."""
         for low in range(0, len(offsets) - 1, TOGETHER):
-            some = offsets[low : low + TOGETHER + 1]
-            part = slice(some[0], some[-1])
-            column = self.column[terms[part]]
-            owner = np.repeat(np.arange(len(some) - 1), np.diff(some))
-            asked = np.zeros((len(some) - 1, self.dense.shape[1]))
-            asked[owner[column >= 0], column[column >= 0]] = weights[part][column >= 0]
-            scores = asked @ self.dense.T
-            tops = scores.reshape(len(scores), self.n_blocks, BLOCK).max(2)
-            for q, (a, b) in enumerate(zip(some[:-1], some[1:])):
-                rare = np.flatnonzero(column[a - some[0] : b - some[0]] < 0) + a
-                yield self._one(scores[q], tops[q], terms[rare], weights[rare], k, below)
-
-    def _one(self, score: np.ndarray, bound: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, below: float) -> tuple[np.ndarray, np.ndarray]:
+            for asked in self._asked(offsets[low : low + TOGETHER + 1], terms, weights):
+                yield self._one(*asked, k, below)
+
+    def as_near(self, offsets: np.ndarray, terms: np.ndarray, weights: np.ndarray, least: float) -> np.ndarray:
+        """For each query, how many rows have an inner product of at least ``least``. Only blocks whose bound reaches it are looked at."""
+        found = np.zeros(len(offsets) - 1, np.int64)
+        for low in range(0, len(found), TOGETHER):
+            for q, (score, bound, rare, weight) in enumerate(self._asked(offsets[low : low + TOGETHER + 1], terms, weights), low):
+                lists, repeated, bound = self._bounds(bound, rare, weight)
+                look = bound >= least - 1e-9
+                self._add(score, lists, repeated, look[self.blocks[lists]])
+                found[q] = int((score.reshape(-1, BLOCK)[look] >= least).sum())
+        return found
+
+    def _asked(self, some: np.ndarray, terms: np.ndarray, weights: np.ndarray):
+        """Of each query, the scores by dense terms, their largest in each block, and its other terms and their weights."""
+        part = slice(some[0], some[-1])
+        column = self.column[terms[part]]
+        owner = np.repeat(np.arange(len(some) - 1), np.diff(some))
+        asked = np.zeros((len(some) - 1, self.dense.shape[1]))
+        asked[owner[column >= 0], column[column >= 0]] = weights[part][column >= 0]
+        scores = asked @ self.dense.T
+        tops = scores.reshape(len(scores), self.n_blocks, BLOCK).max(2)
+        for q, (a, b) in enumerate(zip(some[:-1], some[1:])):
+            rare = np.flatnonzero(column[a - some[0] : b - some[0]] < 0) + a
+            yield scores[q], tops[q], terms[rare], weights[rare]
+
+    def _bounds(self, bound: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The blocks' lists of the terms, the weight that goes with each, and what no row of a block can exceed."""
         begins, ends = self.block_ranges[terms], self.block_ranges[terms + 1]
         lists = _ranges(begins, ends)
-        weight, block = np.repeat(weights, ends - begins), self.blocks[lists]
-        bound = bound + np.bincount(block, weight * self.tops[lists], self.n_blocks)
+        weight = np.repeat(weights, ends - begins)
+        return lists, weight, bound + np.bincount(self.blocks[lists], weight * self.tops[lists], self.n_blocks)
+
+    def _one(self, score: np.ndarray, bound: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, below: float) -> tuple[np.ndarray, np.ndarray]:
+        lists, weight, bound = self._bounds(bound, terms, weights)
+        block = self.blocks[lists]
         ahead = 2 * -(-k // BLOCK)
         look = np.zeros(self.n_blocks, bool)
         look[np.argpartition(-bound, ahead)[:ahead] if ahead < self.n_blocks else slice(None)] = True
@@ -123,14 +143,31 @@ class BlockMaxIndex:
         score += np.bincount(self.rows[places], np.repeat(weight[chosen], ends - begins) * self.weights[places], len(score))
 
 
+class Examples:
+    """The labelled examples, of a size that the parameters of a fit bound. vocabulary: sorted hashes of terms; terms, counts: those of each example, a range of offsets.
+
+    Only this travels; the index is built from it once in each process that asks for it.
+    """
+
+    def __init__(self, vocabulary, idf, offsets, terms, counts, ids, labels):
+        self.vocabulary, self.idf, self.offsets, self.terms, self.counts, self.ids, self.labels = vocabulary, idf, offsets, terms, counts, ids, labels
+        self._index = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_index": None}
+
+    @property
+    def index(self) -> BlockMaxIndex:
+        if self._index is None:
+            rows = np.repeat(np.arange(len(self.ids)), np.diff(self.offsets))
+            self._index = BlockMaxIndex(rows, self.terms, _weigh(self.offsets, self.terms, self.counts, self.idf), len(self.ids), len(self.vocabulary))
+        return self._index
+
+
 class Model(NamedTuple):
-    """What a fit gives, of a size that its parameters bound. vocabulary: sorted hashes of terms; steps, chances: the calibration; otherwise: the chance without a neighbour."""
+    """shared: the examples, broadcast; steps, chances: the calibration; otherwise: the chance without a neighbour."""
 
-    vocabulary: np.ndarray
-    idf: np.ndarray
-    index: BlockMaxIndex
-    ids: np.ndarray
-    labels: np.ndarray
+    shared: object
     steps: np.ndarray
     chances: np.ndarray
     otherwise: float
@@ -209,23 +246,20 @@ def _frequencies(shared):
     return count
 
 
-def _voter(shared):
-    """Votes on examples that are in the index, without themselves and their near copies; and the number of examples in their group."""
+def _voter(shared, k: int):
+    """Votes on examples, without themselves and their near copies; and the number of examples in their group. Rows: places of examples."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = shared.value
+        m: Examples = shared.value
         for batch in batches:
-            lists = batch.column("terms")
-            offsets = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
-            terms = np.searchsorted(m.vocabulary, np.asarray(lists.flatten()).view(_U))
-            weights = _weigh(offsets, terms, np.asarray(batch.column("counts").flatten()), m.idf)
-            votes, sizes = [], []
-            near = m.index.nearest(offsets, terms, weights, m.k, COPY)
-            every = m.index.nearest(offsets, terms, weights, m.index.n_rows)
-            for (rows, scores), (_, other) in zip(near, every):
-                votes.append(_vote(m.labels[rows], scores) if len(rows) else None)
-                sizes.append(max(1, int((other >= COPY).sum())))
-            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column("toxic"), pa.array(sizes, pa.int64())], names=["vote", "toxic", "size"])
+            for part in np.array_split(np.asarray(batch.column("id")), max(1, batch.num_rows // 256)):
+                offsets = np.concatenate([[0], np.cumsum(m.offsets[part + 1] - m.offsets[part])])
+                places = _ranges(m.offsets[part], m.offsets[part + 1])
+                terms = m.terms[places]
+                weights = _weigh(offsets, terms, m.counts[places], m.idf)
+                votes = [_vote(m.labels[rows], scores) if len(rows) else None for rows, scores in m.index.nearest(offsets, terms, weights, k, COPY)]
+                sizes = np.maximum(m.index.as_near(offsets, terms, weights, COPY), 1)
+                yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), pa.array(m.labels[part], pa.int32()), pa.array(sizes, pa.int64())], names=["vote", "toxic", "size"])
 
     return vote
 
@@ -235,17 +269,19 @@ COPY = 0.8
 _EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 
 
-def _scorer(shared, shown: int):
+def _scorer(model: Model, shown: int):
+    shared, steps, chances, otherwise, k = model
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = shared.value
+        m: Examples = shared.value
         for batch in batches:
             for part in chunks(batch, "text"):
                 offsets, terms, counts = _known(part.column("text"), m.vocabulary)
                 scores, evidence = [], []
-                for rows, near in m.index.nearest(offsets, terms, _weigh(offsets, terms, counts, m.idf), m.k):
-                    chance = m.otherwise
+                for rows, near in m.index.nearest(offsets, terms, _weigh(offsets, terms, counts, m.idf), k):
+                    chance = otherwise
                     if len(rows):
-                        chance = float(m.chances[max(0, np.searchsorted(m.steps, _vote(m.labels[rows], near), side="right") - 1)])
+                        chance = float(chances[max(0, np.searchsorted(steps, _vote(m.labels[rows], near), side="right") - 1)])
                     scores.append(round(chance, 6))
                     rows, near = rows[:shown], near[:shown]
                     evidence.append([{"doc_id": i, "similarity": round(s, 6), "toxic": y} for i, s, y in zip(m.ids[rows].tolist(), near.tolist(), m.labels[rows].tolist())])
@@ -291,11 +327,12 @@ def fit(docs: DataFrame, labels: DataFrame, k: int = 200, max_examples: int = 81
     df = np.ones(len(vocabulary))
     df[at[at >= 0]] = n[at >= 0]
     idf = np.log((1 + n[at < 0].sum()) / df)
-    rows = np.repeat(np.arange(len(ids)), np.diff(offsets))
-    index = BlockMaxIndex(rows, terms, _weigh(offsets, terms, counts, idf), len(ids), len(vocabulary))
+    kind = np.uint16 if len(counts) and counts.max() < 1 << 16 else np.uint32
+    shared = context.broadcast(Examples(vocabulary, idf, offsets, terms.astype(np.int32), counts.astype(kind), ids, y))
     rate = (float(y.sum()) + 0.5) / (len(y) + 1)
-    model = Model(vocabulary, idf, index, ids, y, np.zeros(1), np.full(1, rate), rate if len(y) else 0.0, k)
-    voted = kept.mapInArrow(_voter(context.broadcast(model)), "vote double, toxic int, size bigint").where("vote is not null").toArrow()
+    model = Model(shared, np.zeros(1), np.full(1, rate), rate if len(y) else 0.0, k)
+    spread = docs.sparkSession.range(0, len(ids), 1, min(max(1, len(ids) // 256), context.defaultParallelism))
+    voted = spread.mapInArrow(_voter(shared, k), "vote double, toxic int, size bigint").where("vote is not null").toArrow()
     if len(voted):
         steps, chances = _isotonic(np.asarray(voted["vote"]), np.asarray(voted["toxic"]).astype(float), 1 / np.asarray(voted["size"]), rate)
         model = model._replace(steps=steps, chances=chances)
@@ -314,9 +351,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, shown: int = 10, **option
     is the example. Without labels every score is 0; an empty
     table gives an empty result. Other columns are ignored, whatever their names.
     """
-    model = fit(docs, labels, **options)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return _texts(docs).mapInArrow(_scorer(shared, shown), "doc_id bigint, score double, toxic boolean, evidence array<struct<doc_id: bigint, similarity: double, toxic: int>>")
+    return _texts(docs).mapInArrow(_scorer(fit(docs, labels, **options), shown), "doc_id bigint, score double, toxic boolean, evidence array<struct<doc_id: bigint, similarity: double, toxic: int>>")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
