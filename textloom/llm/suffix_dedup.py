@@ -16,9 +16,10 @@ Ranks are named by 64-bit hashes, and two runs are one only if both of a pair's
 ranks are equal, which is 128 bits together; they aren't compared word by word.
 
 Classes of so many positions that they would overload the task that sorts them
-are found from a sample of positions (at most ``HOT`` of them, as each holds
-more than that share of the sample). Their first positions come from a
-pre-aggregated minimum instead of a sort, with the same names.
+are found from a sample of positions (at most ``HOT`` of them for each length of
+runs, as each holds more than that share of the sample). Their first positions
+come from a pre-aggregated minimum, and their rows go through the sort in
+shares that keep that name.
 """
 
 from __future__ import annotations
@@ -38,7 +39,9 @@ _U = np.uint64
 #: A class with more than one in so many of the sampled positions isn't sorted by one task.
 HOT = 4096
 #: One position in so many is sampled to find such classes.
-SAMPLED = 64
+SAMPLED = 256
+#: Shares that the positions of such a class are dealt into.
+SHARES = 256
 
 
 def _sliding(pick: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
@@ -88,14 +91,15 @@ def _surveyor(passage: int, base: int, sampled: int):
                 owner = np.searchsorted(words.offsets, starts, side="right") - 1
                 ids = np.asarray(part.column("doc_id")).astype(_U)[owner]
                 drawn = starts[mix(mix(ids) + (starts - words.offsets[owner]).astype(_U)) % _U(sampled) == 0]
-                pairs = spans_hash(words.hashes, drawn, 2 * base) if len(drawn) else np.zeros(0, _U)
+                pairs = np.stack([_named_run(words, drawn, r, n) for r, n in enumerate(_lengths(passage, base))], 1).ravel() if len(drawn) else np.zeros(0, _U)
+                bound = np.searchsorted(drawn, bounds) * len(_lengths(passage, base))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id").take(pa.array(long)),
                         pa.array(_whole(words)[long].view(np.int64)),
                         pa.array(count[long]),
                         list_array(pa.array(grams[chosen].view(np.int64)), ranges),
-                        list_array(pa.array(pairs.view(np.int64)), np.searchsorted(drawn, bounds)),
+                        list_array(pa.array(pairs.view(np.int64)), bound),
                     ],
                     names=["doc_id", "whole", "n_words", "anchors", "drawn"],
                 )
@@ -111,24 +115,74 @@ def _offsets(passage: int, base: int) -> list[int]:
     return offsets
 
 
-def _positions(passage: int, base: int, hot: np.ndarray):
+def _lengths(passage: int, base: int) -> list[int]:
+    """The lengths of runs that are named, round by round."""
+    return [base + sum(_offsets(passage, base)[: r + 1]) for r in range(len(_offsets(passage, base)))]
+
+
+def _named_run(words: Words, at: np.ndarray, round_: int, length: int) -> np.ndarray:
+    """What the class of the run of a round that begins at each place is called among the hot ones."""
+    return mix(spans_hash(words.hashes, at, length) ^ mix(np.array([round_ + 1], _U)))
+
+
+def _kept(part: pa.RecordBatch, passage: int, base: int):
+    """The words of a part, hashes of their runs, the places that are ranked and the document of each."""
     # a passage's rank comes to hang on the ranks at these places after its start
     needed = np.zeros(1, np.int64)
     for offset in _offsets(passage, base)[1:]:
         needed = np.union1d(needed, needed + offset)
+    words = words_of(part.column("text"))
+    grams, starts, least = _anchors(words, passage, base)
+    marks = np.asarray(part.column("anchors").flatten()).view(_U)
+    keep = np.unique((starts[np.isin(least, marks)][:, None] + needed).ravel())
+    return words, grams, keep, np.searchsorted(words.offsets, keep, side="right") - 1
+
+
+def _hot_of(words: Words, keep: np.ndarray, owner: np.ndarray, round_: int, length: int, hot: np.ndarray) -> np.ndarray:
+    """The number of the hot class of each place in a round, or -1. hot: sorted names."""
+    out = np.full(len(keep), -1, np.int32)
+    inside = np.flatnonzero(keep + length <= words.offsets[owner + 1])
+    if len(inside) and len(hot):
+        name = _named_run(words, keep[inside], round_, length)
+        at = np.minimum(np.searchsorted(hot, name), len(hot) - 1)
+        out[inside] = np.where(hot[at] == name, at, -1)
+    return out
+
+
+def _first_finder(passage: int, base: int, hot: np.ndarray):
+    """Of each partition, the least (doc_id, pos) of each hot class."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[int, tuple[int, int]] = {}
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                words, _, keep, owner = _kept(part, passage, base)
+                ids = np.asarray(part.column("doc_id"))[owner] if len(keep) else keep
+                for r, n in enumerate(_lengths(passage, base)):
+                    number = _hot_of(words, keep, owner, r, n, hot)
+                    some = np.flatnonzero(number >= 0)
+                    order = some[np.lexsort((keep[some] - words.offsets[owner[some]], ids[some], number[some]))]
+                    first = order[np.append(True, np.diff(number[order]) != 0)] if len(order) else order
+                    for k in first.tolist():
+                        place = int(ids[k]), int(keep[k] - words.offsets[owner[k]])
+                        least[int(number[k])] = min(least.get(int(number[k]), place), place)
+        rows = sorted(least.items())
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1][0] for x in rows], pa.int64()), pa.array([x[1][1] for x in rows], pa.int32())], names=["hot", "doc_id", "pos"])
+
+    return find
+
+
+def _positions(passage: int, base: int, hot: np.ndarray):
+    rounds = list(enumerate(_lengths(passage, base)))
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                words = words_of(part.column("text"))
-                grams, starts, least = _anchors(words, passage, base)
-                marks = np.asarray(part.column("anchors").flatten()).view(_U)
-                keep = np.unique((starts[np.isin(least, marks)][:, None] + needed).ravel())
-                owner = np.searchsorted(words.offsets, keep, side="right") - 1
-                large = np.isin(spans_hash(words.hashes, keep, 2 * base), hot) if len(keep) else np.zeros(0, bool)
+                words, grams, keep, owner = _kept(part, passage, base)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(owner)), pa.array(keep - words.offsets[owner], pa.int32()), pa.array(grams[keep].view(np.int64)), pa.array(grams[keep + base].view(np.int64)), pa.array(large)],
-                    names=["doc_id", "pos", "rank", "next", "hot"],
+                    [part.column("doc_id").take(pa.array(owner)), pa.array(keep - words.offsets[owner], pa.int32()), pa.array(grams[keep].view(np.int64)), pa.array(grams[keep + base].view(np.int64))]
+                    + [pa.array(_hot_of(words, keep, owner, r, n, hot)) for r, n in rounds],
+                    names=["doc_id", "pos", "rank", "next"] + [f"hot{r}" for r, _ in rounds],
                 )
 
     return positions
@@ -169,15 +223,20 @@ def repeated_passages(docs: DataFrame, passage: int = 50, base: int = 13, id_col
     marked = settle(anchors.join(small(shared), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
     drawn = own.select(F.explode("drawn").alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
     total = own.agg(F.sum(F.size("drawn"))).first()[0] or 0
-    hot = np.array([r["pair"] for r in drawn.where(F.col("n") > max(total // HOT, 16)).select("pair").collect()], np.int64).view(_U)
+    rounds = len(_lengths(passage, base))
+    hot = np.sort(np.array([r["pair"] for r in drawn.where(F.col("n") > max(total // rounds // HOT, 16)).select("pair").collect()], np.int64).view(_U))
     rows = docs.join(_small_lists(marked), "doc_id").select("doc_id", "text", "anchors")
-    ranked = rows.mapInArrow(_positions(passage, base, hot), "doc_id bigint, pos int, rank bigint, next bigint, hot boolean")
-    for offset in [*_offsets(passage, base)[1:], None]:
-        named = _named(ranked, len(hot) > 0)
+    firsts = None
+    if len(hot):
+        found = rows.mapInArrow(_first_finder(passage, base, hot), "hot int, doc_id bigint, pos int").groupBy("hot").agg(F.min(F.struct("doc_id", "pos")).alias("at"))
+        firsts = settle(found.select("hot", F.col("at.doc_id").alias("first_doc"), F.col("at.pos").alias("first_pos")))
+    flags = [f"hot{r}" for r in range(rounds)]
+    ranked = rows.mapInArrow(_positions(passage, base, hot), "doc_id bigint, pos int, rank bigint, next bigint, " + ", ".join(f"{f} int" for f in flags))
+    for r, offset in enumerate([*_offsets(passage, base)[1:], None]):
+        named = _named(ranked, flags[r], firsts)
         if offset:
-            # a longer run has its first half's class, and so no class is in part hot
             ahead = Window.partitionBy("doc_id").orderBy("pos").rangeBetween(offset, offset)
-            ranks = named.select("doc_id", "pos", F.xxhash64("at_doc", "at_pos").alias("rank"), "hot")
+            ranks = named.select("doc_id", "pos", F.xxhash64("at_doc", "at_pos").alias("rank"), *flags[r + 1 :])
             ranked = ranks.withColumn("next", F.first("rank").over(ahead)).where("next is not null")
     again = named.where(~((F.col("doc_id") == F.col("at_doc")) & (F.col("pos") - F.col("at_pos") < passage)))
     along = Window.partitionBy("doc_id").orderBy("pos")
@@ -191,19 +250,18 @@ def repeated_passages(docs: DataFrame, passage: int = 50, base: int = 13, id_col
     return found.unionByName(entire)
 
 
-def _named(ranked: DataFrame, split: bool) -> DataFrame:
-    """The positions (doc_id, pos, hot) whose pair of ranks isn't unique, with the first position of their class (at_doc, at_pos)."""
-    pair = Window.partitionBy("rank", "next")
+def _named(ranked: DataFrame, flag: str, firsts: DataFrame | None) -> DataFrame:
+    """The positions whose pair of ranks isn't unique, with the first position of their class (at_doc, at_pos). Those of a hot class are sorted in shares, and have it given."""
+    salt = F.when(F.col(flag) >= 0, F.pmod(F.hash("doc_id"), F.lit(SHARES))).otherwise(0)
+    pair = Window.partitionBy("rank", "next", "salt")
     order = pair.orderBy("doc_id", "pos")
-    cold = ranked.where("not hot") if split else ranked
-    named = cold.select("doc_id", "pos", "hot", F.first("doc_id").over(order).alias("at_doc"), F.first("pos").over(order).alias("at_pos"), F.count("*").over(pair).alias("n"))
-    named = named.where("n > 1").drop("n")
-    if not split:
+    named = ranked.withColumn("salt", salt).withColumns({"at_doc": F.first("doc_id").over(order), "at_pos": F.first("pos").over(order), "n": F.count("*").over(pair)})
+    named = named.where((F.col("n") > 1) | (F.col(flag) >= 0)).drop("n", "salt", "rank", "next")
+    if firsts is None:
         return named
-    large = ranked.where("hot")
-    first = settle(large.groupBy("rank", "next").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.count("*").alias("n")).where("n > 1"))
-    met = large.join(small(first), ["rank", "next"])
-    return named.unionByName(met.select("doc_id", "pos", "hot", F.col("at.doc_id").alias("at_doc"), F.col("at.pos").alias("at_pos")))
+    # at most HOT rows for each length of runs
+    given = named.join(F.broadcast(firsts.withColumnRenamed("hot", flag)), flag, "left")
+    return given.withColumns({"at_doc": F.coalesce("first_doc", "at_doc"), "at_pos": F.coalesce("first_pos", "at_pos")}).drop("first_doc", "first_pos")
 
 
 def _small_lists(marked: DataFrame) -> DataFrame:
