@@ -23,7 +23,7 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-# --- tokenizers -------------------------------------------------------------
+# tokenizers
 
 
 def words(text: Column | str, pattern: str = WORD) -> Column:
@@ -49,13 +49,6 @@ def lines(text: Column | str) -> Column:
     return F.split(_col(text), "\n", -1)
 
 
-def sentences(text: Column | str) -> Column:
-    """Sentences end with a stop, question or exclamation mark before white space; a missing last stop is added."""
-    whole = F.trim(F.regexp_replace(_col(text), r"\s+", " "))
-    ended = F.when(whole.rlike(r"[.!?]$") | (whole == ""), whole).otherwise(F.concat(whole, F.lit(".")))
-    return F.filter(F.split(ended, r"(?<=[.!?]) "), lambda x: x != "")
-
-
 def offsets(text: Column | str, tokens: Column) -> Column:
     """Where each token begins in the text, counted in characters, in order of the tokens."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
@@ -67,7 +60,7 @@ def offsets(text: Column | str, tokens: Column) -> Column:
     return F.aggregate(tokens, start, step, lambda acc: acc["found"])
 
 
-# --- token mergers ----------------------------------------------------------
+# token mergers
 
 
 def ngrams(tokens: Column, n: int, sep: str = " ") -> Column:
@@ -103,7 +96,7 @@ def pairs_as_ranges(tokens: Column) -> Column:
     return F.transform(begins, lambda i: F.concat_ws("/", F.get(tokens, i), F.get(tokens, F.least(i + 1, n - 1))))
 
 
-# --- normalizers ------------------------------------------------------------
+# normalizers
 
 
 def lower(c: Column | str) -> Column:
@@ -234,7 +227,7 @@ _SOUNDS = (("[aehiouwy]", "0"), ("[bpfv]", "1"), ("[cgjkqsxz]", "2"), ("[dt]", "
 def phonetic(c: Column | str, size: int = 0) -> Column:
     """The first letter and the classes of the consonants after it, repetitions as one; padded or cut to a size if one is given."""
     word = F.regexp_replace(F.lower(_col(c)), "[^a-z]", "")
-    rest = F.substring(word, 2, 1 << 20)
+    rest = F.substr(word, F.lit(2))
     for sound, digit in _SOUNDS:
         rest = F.regexp_replace(rest, sound, digit)
     rest = F.replace(F.regexp_replace(rest, r"(\d)\1+", "$1"), F.lit("0"), F.lit(""))
@@ -242,10 +235,6 @@ def phonetic(c: Column | str, size: int = 0) -> Column:
     return F.rpad(code, size, "0") if size else code
 
 
-def year(c: Column | str) -> Column:
-    return F.regexp_extract(_col(c), r"\b(\d{4})\b", 1)
-
-
 def smash_html(c: Column | str) -> Column:
     """Text of a page: no head, scripts, styles, comments or tags; white space as single spaces."""
     text = _col(c)

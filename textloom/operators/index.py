@@ -18,11 +18,6 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return each.groupBy("term", key).agg(F.count("*").alias("occs"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
-def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
-    """Postings as Parquet, ordered by term over all files, so that a term's rows are found by the files' own statistics."""
-    postings(docs, key, text).repartitionByRange("term").sortWithinPartitions("term", key).write.mode("overwrite").parquet(path)
-
-
 def term_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(term, n_recs, n_occs), with one shuffle of partial counts."""
     flags = tokens_of(docs, text, key).select(F.explode(A.counted(F.col("tokens"))).alias("f"))

@@ -11,6 +11,8 @@ from textloom.functions import analysis as A
 from textloom.operators import index as I
 from textloom.operators import mining as M
 from textloom.operators.search import Index, ranked, scaled, search
+from textloom.operators.stored import StoredIndex, stored_index
+from textloom.storage import placed
 from textloom.streaming.incremental import windowed_counts
 
 INDEXES = {"text": Index("text"), "lang": Index("lang", "exact"), "source": Index("source", "exact"), "n_chars": Index("n_chars", "number")}
@@ -37,8 +39,14 @@ def _add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str |
         _SQL[name] = sql
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> StoredIndex:
+    """The index of the documents table, written once a session."""
+    return stored_index(spark, _docs(spark, sf_dir), INDEXES, f"documents of {sf_dir}")
+
+
 def _cql(name: str, query: str, sql: str, shape: Callable[[DataFrame], DataFrame] = lambda d: d) -> None:
-    _add(name, lambda s, d: shape(search(_docs(s, d), query, INDEXES, "text")), sql)
+    """A query of the stored index."""
+    _add(name, lambda s, d: shape(_stored(s, d).search(query)), sql)
 
 
 def _rounded(hits: DataFrame) -> DataFrame:
@@ -64,7 +72,7 @@ _add("postings", lambda s, d: I.postings(_docs(s, d)).select("term", "doc_id", "
 _add("index_metadata", lambda s, d: I.index_metadata(I.term_stats(_docs(s, d))), f"WITH {_POST} SELECT count(*) AS n_terms, sum(df)::BIGINT AS n_postings, sum(occs)::BIGINT AS n_occurrences FROM df")
 _add("collection_stats", lambda s, d: I.collection_stats(_docs(s, d)),
      f"SELECT count(*) AS total_items, sum(n)::BIGINT AS total_words, min(n) AS min_words, max(n) AS max_words, (sum(n) // count(*))::BIGINT AS mean_words, sum(b)::BIGINT AS total_bytes, min(b)::BIGINT AS min_bytes, max(b)::BIGINT AS max_bytes FROM (SELECT len({_W}) AS n, strlen(text) AS b FROM documents)")
-_add("min_support", lambda s, d: I.term_stats(_docs(s, d)).where("n_recs >= 5"), f"WITH {_POST} SELECT term, df::BIGINT AS n_recs, occs::BIGINT AS n_occs FROM df WHERE df >= 5")
+_add("min_support", lambda s, d: _stored(s, d).terms("text").where("n_recs >= 5").select("term", "n_recs", "n_occs"), f"WITH {_POST} SELECT term, df::BIGINT AS n_recs, occs::BIGINT AS n_occs FROM df WHERE df >= 5")
 
 # boolean search
 _cql("search_any", 'text any "the der"', f"SELECT doc_id FROM documents WHERE list_has_any({_W}, ['the', 'der'])")
@@ -104,16 +112,16 @@ _cql("scaled_weights", 'text any/rel.algorithm=tfidf/rel.combine=sum "the of"',
      lambda h: scaled(_rounded(h)).select("doc_id", F.round("scaled_weight", 4).alias("scaled_weight")))
 
 # ordering, browsing, facets
-_add("sort_missing", lambda s, d: _docs(s, d).join(_table(s, d, "labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", F.row_number().over(Window.orderBy(F.asc_nulls_last("quality"), "doc_id")).cast("bigint").alias("place")),
+_add("sort_missing", lambda s, d: placed(_docs(s, d).select("doc_id").join(_table(s, d, "labels").select("doc_id", "quality"), "doc_id", "left"), F.asc_nulls_last("quality"), "doc_id").select("doc_id", "place"),
      "SELECT doc_id, row_number() OVER (ORDER BY quality ASC NULLS LAST, doc_id) AS place FROM documents LEFT JOIN labels USING (doc_id)")
 _add("sort_multi", lambda s, d: _docs(s, d).select("doc_id", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")).cast("bigint").alias("place")), "SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS place FROM documents")
 for _name, _direction, _where, _order in (("scan_ge", ">=", ">= 'the'", "ASC"), ("scan_le", "<=", "<= 'the'", "DESC"), ("scan_prefix", "=", "LIKE 'the%'", "ASC")):
-    _add(_name, lambda s, d, x=_direction: I.scan(I.term_stats(_docs(s, d)), "the", x, 25), f"WITH {_POST} SELECT term, df::BIGINT AS n_recs, occs::BIGINT AS n_occs FROM df WHERE term {_where} ORDER BY term {_order} LIMIT 25")
-_add("facets_lang", lambda s, d: I.facets(_docs(s, d), search(_docs(s, d), 'text any "the"', INDEXES, "text"), "lang"), f"SELECT lang AS facet, count(*) AS n_recs FROM documents WHERE list_contains({_W}, 'the') GROUP BY 1")
-_add("facets_terms", lambda s, d: I.term_stats(_docs(s, d).join(search(_docs(s, d), 'text all "the of"', INDEXES, "text"), "doc_id", "left_semi")).orderBy(F.desc("n_recs"), "term").limit(50),
+    _add(_name, lambda s, d, x=_direction: _stored(s, d).scan("text", "the", x, 25).select("term", "n_recs", "n_occs"), f"WITH {_POST} SELECT term, df::BIGINT AS n_recs, occs::BIGINT AS n_occs FROM df WHERE term {_where} ORDER BY term {_order} LIMIT 25")
+_add("facets_lang", lambda s, d: _stored(s, d).facets("lang", _stored(s, d).search('text any "the"')).select(F.col("term").alias("facet"), "n_recs"), f"SELECT lang AS facet, count(*) AS n_recs FROM documents WHERE list_contains({_W}, 'the') GROUP BY 1")
+_add("facets_terms", lambda s, d: _stored(s, d).facets("text", _stored(s, d).search('text all "the of"'), 50).select("term", "n_recs", "n_occs"),
      f"WITH {_TOK}, h AS (SELECT * FROM tok WHERE list_has_all(w, ['the', 'of'])), t AS (SELECT doc_id, unnest(w) AS term FROM h) SELECT term, count(DISTINCT doc_id) AS n_recs, count(*) AS n_occs FROM t GROUP BY term ORDER BY n_recs DESC, term LIMIT 50")
-_add("freq_list", lambda s, d: I.frequency_list(I.term_stats(_docs(s, d)), 100).select("term", "n_occs", "rank"), f"WITH {_POST} SELECT term, occs::BIGINT AS n_occs, row_number() OVER (ORDER BY occs DESC, term) AS rank FROM df ORDER BY rank LIMIT 100")
-_add("feedback_terms", lambda s, d: I.feedback_terms(_docs(s, d), search(_docs(s, d), 'lang = "de"', INDEXES, "text")),
+_add("freq_list", lambda s, d: _stored(s, d).frequencies("text", n=100).select("term", "n_occs", "rank"), f"WITH {_POST} SELECT term, occs::BIGINT AS n_occs, row_number() OVER (ORDER BY occs DESC, term) AS rank FROM df ORDER BY rank LIMIT 100")
+_add("feedback_terms", lambda s, d: _stored(s, d).telling_terms("text", _stored(s, d).search('lang = "de"')),
      f"WITH {_POST}, st AS (SELECT count(*) AS n FROM tok), h AS (SELECT term, sum(tf.occs) AS here FROM tf JOIN documents USING (doc_id) WHERE lang = 'de' GROUP BY term) SELECT term, round(here * ln(n / df.df), 6) AS weight FROM h JOIN df USING (term), st ORDER BY weight DESC, term LIMIT 20")
 
 # vectors
@@ -179,7 +187,7 @@ _add("itemset_measures", _measures,
         p AS (SELECT x.i AS a, y.i AS b, count(*) AS support FROM b x JOIN b y ON x.o = y.o AND x.i < y.i GROUP BY 1, 2 HAVING count(*) >= 3),
         q AS (SELECT p.*, support / ca.n AS r, support / ca.n * t.n / cb.n AS l FROM p JOIN c ca ON ca.i = p.a JOIN c cb ON cb.i = p.b, t)
         SELECT a, b, support, round(r, 6) AS confidence, round(l, 6) AS lift, round(CASE WHEN r >= 1 THEN 0 ELSE -r * log2(r) - (1 - r) * log2(1 - r) END, 6) AS entropy, round(1 - r * r - (1 - r) * (1 - r), 6) AS gini FROM q""")
-_add("classify", lambda s, d: M.classify_documents(_docs(s, d), _table(s, d, "labels"), "quality"))
+_add("classify", lambda s, d: M.classified(_docs(s, d), _table(s, d, "labels"), "quality", "bayes", 1 << 14))
 _add("incremental_counts", lambda s, d: windowed_counts(_table(s, d, "events")), "SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 
 
