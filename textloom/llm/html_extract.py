@@ -146,15 +146,15 @@ def _surveyor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 node, name, above, depth = todo.pop()
                 place = (key, name, above, depth)
                 if node.features:
-                    seen.add((*place, True, None))
+                    seen.add((*place, True, None, False))
                     for feature in node.features:
-                        k = (*place, True, _id(_BLANKS.sub(" ", feature).strip()))
+                        k = (*place, True, _id(_BLANKS.sub(" ", feature).strip()), False)
                         contents[k] = contents.get(k, 0) + 1
                     continue
                 style, runs = _runs(node)
                 below = _id(f"{name}|{style}")
-                seen.add((*place, False, None))
-                seen.add((*place, False, below))
+                seen.add((*place, False, None, False))
+                seen.add((*place, False, below, bool(runs)))
                 for i, run in enumerate(runs):
                     child = _id(f"{below}|{i}")
                     todo += [(x, child, below, depth + 1) for x in run]
@@ -166,28 +166,28 @@ def _surveyor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 entry[0] += n
                 entry[1] += n * math.log(n)
         if total:
-            names = ["host", "node", "above", "depth", "leaf", "item"]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64()]
+            names = ["host", "node", "above", "depth", "leaf", "item", "kids"]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.bool_()]
             rows = list(total)
             values = list(total.values())
             yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)), pa.array([v[0] for v in values], pa.int64()), pa.array([v[1] for v in values])], names=[*names, "n", "q"])
 
 
-_SURVEY = "host bigint, node bigint, above bigint, depth int, leaf boolean, item bigint, n bigint, q double"
+_SURVEY = "host bigint, node bigint, above bigint, depth int, leaf boolean, item bigint, kids boolean, n bigint, q double"
 
 
-def composite(gamma: float, styles: list[tuple[int, int]], m: int, below: dict[int, list]) -> float:
-    """The importance of an element on m pages with so many pages of each style. below: of each style, the sum and number of its children's importances."""
+def composite(gamma: float, styles: list[tuple[int, int]], once: int, hollow: int, m: int, below: dict[int, list]) -> float:
+    """The importance of an element on m pages with so many pages of each style, ``once`` styles of one page each with children, and ``hollow`` ones without. below: of each style, the sum and number of its children's importances; what stands on one page has all importance."""
     if m <= 1:
         return 1.0
-    total = sum(n for _, n in styles)
-    spread = min(1.0, -sum(n / total * math.log(n / total) for _, n in styles) / math.log(m))
-    inner = 0.0
+    total = sum(n for _, n in styles) + once + hollow
+    spread = -sum(n / total * math.log(n / total) for _, n in styles) + (once + hollow) / total * math.log(total)
+    inner = once / total
     for style, n in styles:
         s, k = below.get(style, (0.0, 0))[:2]
         inner += n / total * (s / k if k else 0.0)
-    fade = gamma ** len(styles)
-    return (1 - fade) * spread + fade * inner
+    fade = gamma ** (len(styles) + once + hollow)
+    return (1 - fade) * min(1.0, spread / math.log(m)) + fade * inner
 
 
 def _weigher(gamma: float):
@@ -197,8 +197,8 @@ def _weigher(gamma: float):
         at, current, below = None, {}, {}  # below: by style node, of the level under the current one
         for batch in batches:
             out = []
-            cols = [batch.column(c).to_pylist() for c in ("host", "node", "above", "depth", "leaf", "m", "entropy", "styles")]
-            for host, node, above, depth, leaf, m, entropy, styles in zip(*cols):
+            cols = [batch.column(c).to_pylist() for c in ("host", "node", "above", "depth", "leaf", "m", "entropy", "styles", "once", "hollow")]
+            for host, node, above, depth, leaf, m, entropy, styles, once, hollow in zip(*cols):
                 if at != (host, depth):
                     below = current if at and at == (host, depth + 1) else {}
                     at, current = (host, depth), {}
@@ -206,8 +206,8 @@ def _weigher(gamma: float):
                     value = 1.0 if m <= 1 else max(0.0, 1 - entropy / math.log(m))
                     best = value
                 else:
-                    value = composite(gamma, [(s["item"], s["n"]) for s in styles], m, below)
-                    best = max([value, *(below[s["item"]][2] for s in styles if s["item"] in below)])
+                    value = composite(gamma, [(s["item"], s["n"]) for s in styles], once, hollow, m, below)
+                    best = max([value, float(once > 0), *(below[s["item"]][2] for s in styles if s["item"] in below)])
                 entry = current.setdefault(above, [0.0, 0, 0.0])
                 entry[0] += value
                 entry[1] += 1
@@ -219,16 +219,23 @@ def _weigher(gamma: float):
 
 
 def importances(pages: DataFrame, gamma: float = 0.9) -> DataFrame:
-    """(host, node, pages, importance, best) of the nodes of every host's style tree, best being the highest importance of the node and all below it; hosts and nodes are named by hashes."""
+    """(host, node, pages, importance, best) of the nodes of every host's style tree that stand on two pages at least, best being the highest importance of the node and all below it; hosts and nodes are named by hashes.
+
+    What stands on one page only has all importance, and is counted where it
+    hangs, so that a host's tree is as large as what repeats on it, however
+    many pages it has.
+    """
     rows = pages.select(_host_of(F.col("url")).alias("host"), F.col("html").alias("html"))
     key = ["host", "node", "above", "depth", "leaf"]
-    items = rows.mapInArrow(_surveyor, _SURVEY).groupBy(*key, "item").agg(F.sum("n").alias("n"), F.sum("q").alias("q"))
+    items = rows.mapInArrow(_surveyor, _SURVEY).groupBy(*key, "item", "kids").agg(F.sum("n").alias("n"), F.sum("q").alias("q"))
     shown = F.col("item").isNotNull()
     nodes = items.groupBy(*key).agg(
         F.max(F.when(~shown, F.col("n"))).alias("m"),
         F.avg(F.when(shown & F.col("leaf"), F.log("n") - F.col("q") / F.col("n"))).alias("entropy"),
-        F.collect_list(F.when(shown & ~F.col("leaf"), F.struct("item", "n"))).alias("styles"),
-    )
+        F.collect_list(F.when(shown & ~F.col("leaf") & (F.col("n") > 1), F.struct("item", "n"))).alias("styles"),
+        F.count_if(shown & ~F.col("leaf") & (F.col("n") == 1) & F.col("kids")).cast("int").alias("once"),
+        F.count_if(shown & ~F.col("leaf") & (F.col("n") == 1) & ~F.col("kids")).cast("int").alias("hollow"),
+    ).where("m > 1")
     ordered = nodes.repartition("host").sortWithinPartitions("host", F.desc("depth"))
     return ordered.mapInArrow(_weigher(gamma), "host bigint, node bigint, pages bigint, importance double, best double")
 
@@ -289,7 +296,7 @@ def extract(pages: DataFrame, threshold: float = 0.2, gamma: float = 0.9) -> Dat
     A host known from one page only keeps everything, as nothing there can be
     seen to repeat. Pages with a null url, or one without a host, share a tree.
     A null html has a null text and count, an empty one an empty text. Repeated
-    rows are pages of their own. Scripts, styles and comments are never text.
+    rows are pages of their own, and very long pages are read whole. Scripts, styles and comments are never text.
     An empty table gives an empty result. Other columns are ignored, whatever
     their names.
     """
