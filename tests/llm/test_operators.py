@@ -201,6 +201,43 @@ def test_hot_cells_of_vectors_lose_no_link(spark):
     assert all(got[i] == 0 for i in range(500, 1000) if i in got)
 
 
+def test_vectors_at_the_threshold_lose_no_link(spark):
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((3000, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    # pairs just above and just below the threshold, in one cell and in many
+    for i in range(1000):
+        side = v[1000 + i] - (v[1000 + i] @ v[i]) * v[i]
+        cosine = 0.9 + (0.002 if i % 4 else -0.002)
+        v[1000 + i] = (cosine * v[i] + math.sqrt(1 - cosine**2) * side / np.linalg.norm(side)) * (1 + i % 3)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    want = {}
+    for i in range(3000):
+        least = int(np.flatnonzero(near[i])[0])
+        if least < i:
+            want[i] = want.get(least, least)
+    assert len(want) >= 750
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(9000 + i, x[:16].tolist()) for i, x in enumerate(v[:2])], "vec_id bigint, embedding array<double>")
+    for cell in (64, 8192):
+        assert {r["vec_id"]: r["duplicate_of"] for r in embedding_dedup.near_vectors(table, cell=cell).collect()} == want
+
+
+def test_blocks_of_vectors_against_brute_force():
+    for g in range(1, 12):
+        met = [frozenset((i, k % g)) for i in range(g) for k in embedding_dedup.partners(i, g)]
+        assert len(met) == len(set(met)) == g * (g + 1) // 2
+    rng = np.random.default_rng(6)
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.standard_normal((2, 400, 6)))
+    merged = embedding_dedup._Merged()
+    embedding_dedup.link_blocks(x, np.arange(400), y, np.arange(400, 800), 0.9, merged)
+    want = list(range(800))
+    for p, q in np.argwhere(x @ y.T >= 0.9).tolist():
+        a, b = sorted((want[p], want[400 + q]))
+        want = [a if w == b else w for w in want]
+    assert merged.labels(np.arange(800)).tolist() == want and len(merged.links) == 800 - len(set(want))
+
+
 def test_nearest_examples_against_brute_force():
     rng = np.random.default_rng(2)
     n, m = 700, 900

@@ -20,23 +20,39 @@ Windows are wider by the rounding, so that no collision is lost. A cell larger
 than ``most`` is first thinned by its leader: members whose cosine with it
 reaches the threshold are connected already, and of pairs within one component
 none is looked at again. What is left is cut into tiles; none is skipped.
+
+Cells and windows find links cheaply, but not all of them: a pair at the
+threshold may share no cell, lie too far apart on the first line, or miss the
+count. What they find orders the vectors, components together and by their
+first cell, and in this order the vectors are cut into blocks. Every pair of
+blocks is then gone through by cosines, so that no link is lost. Left out is
+only what can hold none: rows that lie farther from a block's centre than its
+radius and the threshold's angle together, and blocks of one component. Blocks
+lie in the shared folder and are read from there, so disk grows with the
+vectors; the cosines grow with their square where nothing can be left out.
 """
 
 from __future__ import annotations
 
 import math
+import os
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import components, only, settle, small
+from textloom.llm.common import components, only, settle, shared_dir, small
 
 #: Pairs of places that a task compares at once.
 PAIRS = 1 << 20
 #: A line is cut into so many steps of one size; what lies beyond its ends counts as its ends.
 STEPS, ENDS = 254, 4.0
+#: Bytes of a block's vectors at most, and blocks that a task holds against one.
+BLOCK_BYTES, PARTNERS = 8 << 20, 512
 
 
 def least_count(lines: int, p: float, miss: float) -> int:
@@ -189,10 +205,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, lines: int = 24, re
     """(vec_id, duplicate_of): each vector that is a near copy, with the least vec_id of its group, the groups being connected by pairs of at least the cosine ``threshold``.
 
     vectors needs vec_id and embedding. ``reach``: half a window, in distances
-    of a pair at the threshold. Such a pair is found in about (1 - miss)^2 of
-    all cases, nearer ones more often, and a verified pair is never wrong.
-    ``cell``: vectors in a cell on average; ``most``: in one that is counted
-    as a whole.
+    of a pair at the threshold; ``miss``: share of such pairs that may share no
+    cell, and again that may miss the count. ``cell``: vectors in a cell on
+    average; ``most``: in one that is counted as a whole. These steer only what
+    is found early: pairs that cells and windows leave out are found by
+    comparing blocks, all with all, and every link is verified.
 
     Null and empty vectors, and those with nulls, infinities or NaN or of zeros
     only, are nobody's copies. Vectors of different dimension aren't compared;
@@ -233,10 +250,155 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, lines: int = 24, re
         placed = placed.withColumn("tile", F.lit(0)).withColumn("side", F.lit(0))
     sorted_ = placed.select("cell", "tile", "side", "vec_id", "root", "marks").repartition("cell", "tile").sortWithinPartitions("cell", "tile")
     pairs = settle(sorted_.mapInArrow(_counter(lines, reach_of(width), least), "a bigint, b bigint").distinct())
-    roots = components(links.unionByName(verified(own, pairs, threshold)))
+    roots = settle(components(links.unionByName(verified(own, pairs, threshold))))
+    rest = settle(_remaining(own, dealt, roots, threshold))
+    if not rest.isEmpty():
+        roots = components(rest.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
     return roots.where("node <> root").select(F.col("node").alias("vec_id"), F.col("root").alias("duplicate_of"))
 
 
+def _block_writer(folder: str, n: int):
+    """Writes the rows, which come in order, as blocks, and gives each one's file, size, centre, radius and range of roots."""
+
+    def write(batches):
+        fs, path = pyarrow.fs.FileSystem.from_uri(folder)
+        fs.create_dir(path, recursive=True)
+        task, count = TaskContext.get(), 0
+        for batch in batches:
+            dims = np.asarray(batch.column("dim"))
+            for dim in np.unique(dims):
+                every = np.flatnonzero(dims == dim)
+                # small tables give enough blocks for all cores, too
+                most = max(1, min(BLOCK_BYTES // (8 * int(dim)), max(256, n // 48)))
+                for own in np.array_split(every, -(-len(every) // most)):
+                    unit = unit_vectors(batch.column("v").take(pa.array(own)))
+                    roots = np.asarray(batch.column("root").take(pa.array(own)))
+                    centre = unit.mean(0)
+                    size = math.sqrt(centre @ centre)
+                    centre = centre / size if size > 1e-9 else unit[0]
+                    radius = math.acos(max(-1.0, min(1.0, float((unit @ centre).min())))) + 1e-6
+                    # a task that is tried again writes files of its own; only those of the one that ended are named
+                    name = f"block-{task.partitionId():06d}-{count:06d}-{task.taskAttemptId()}-{os.getpid()}"
+                    count += 1
+                    with fs.open_output_stream(f"{path}/{name}") as f:
+                        f.write(roots.tobytes() + unit.tobytes())
+                    row = {"name": name, "dim": int(dim), "n": len(own), "centre": centre.tobytes(), "radius": radius, "low": int(roots.min()), "high": int(roots.max())}
+                    yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("name", pa.string()), ("dim", pa.int32()), ("n", pa.int32()), ("centre", pa.binary()), ("radius", pa.float64()), ("low", pa.int64()), ("high", pa.int64())]))
+
+    return write
+
+
+def partners(i: int, g: int) -> range:
+    """The blocks, modulo g, that block i is held against: itself, and of every two blocks one against the other."""
+    return range(i, i + 1 + (g - 1) // 2 + (g % 2 == 0 and i < g // 2))
+
+
+class _Merged:
+    """Which roots were linked so far, and the links."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+        self.links: list[tuple[int, int]] = []
+
+    def of(self, root: int) -> int:
+        while root in self.up:
+            root = self.up[root]
+        return root
+
+    def labels(self, roots: np.ndarray) -> np.ndarray:
+        if not self.up:
+            return roots
+        own, back = np.unique(roots, return_inverse=True)
+        moved = np.flatnonzero(np.isin(own, np.fromiter(self.up, np.int64)))
+        own[moved] = [self.of(r) for r in own[moved].tolist()]
+        return own[back]
+
+    def link(self, pairs: np.ndarray) -> None:
+        for a, b in pairs.tolist():
+            a, b = self.of(a), self.of(b)
+            if a != b:
+                self.up[max(a, b)] = min(a, b)
+                self.links.append((min(a, b), max(a, b)))
+
+
+def link_blocks(x: np.ndarray, x_roots: np.ndarray, y: np.ndarray, y_roots: np.ndarray, threshold: float, merged: _Merged) -> None:
+    """Link the roots of all rows of x and y, which are of length 1, whose cosine is at least the threshold, as far as they aren't linked."""
+    dim = x.shape[1]
+    low, y_low = x.astype(np.float32), y.astype(np.float32).T
+    # what single precision can be off by, at most
+    bound = np.float32(threshold - (dim + 8) * 2.0**-23)
+    step = max(1, PAIRS // max(1, len(y)))
+    y_now = merged.labels(y_roots)
+    for at in range(0, len(x), step):
+        p, q = np.divmod(np.flatnonzero(low[at : at + step] @ y_low >= bound), len(y))
+        p += at
+        x_now = merged.labels(x_roots[at : at + step])
+        while len(p):
+            new = x_now[p - at] != y_now[q]
+            p, q = p[new], q[new]
+            take = max(1, (1 << 19) // dim)
+            some, p, other, q = p[:take], p[take:], q[:take], q[take:]
+            near = np.einsum("ij,ij->i", x[some], y[other]) >= threshold
+            found = np.unique(np.stack([x_now[some[near] - at], y_now[other[near]]], 1), axis=0)
+            if len(found):
+                merged.link(found)
+                x_now, y_now = merged.labels(x_roots[at : at + step]), merged.labels(y_roots)
+
+
+def _linker(folder: str, blocks, threshold: float, parts: int):
+    """Links between roots that blocks give; an id names a block and a part of its partners."""
+
+    def link(batches):
+        fs, path = pyarrow.fs.FileSystem.from_uri(folder)
+        names, dims, counts, centres, radii, lows, highs = blocks.value
+        angle = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
+
+        def read(k: int) -> tuple[np.ndarray, np.ndarray]:
+            with fs.open_input_file(f"{path}/{names[k]}") as f:
+                data = f.read()
+            return np.frombuffer(data, np.int64, counts[k]), np.frombuffer(data, np.float64, offset=8 * counts[k]).reshape(counts[k], dims[k])
+
+        def least(radius: float) -> float:
+            """The least cosine with a block's centre of what can be near one of its rows."""
+            return math.cos(min(math.pi, radius + angle)) - 1e-9
+
+        for batch in batches:
+            for unit in batch.column("id").to_pylist():
+                i, part = divmod(unit, parts)
+                merged, own = _Merged(), None
+                mine = np.frombuffer(centres[i], np.float64)
+                for k in partners(i, len(names))[part * PARTNERS : (part + 1) * PARTNERS]:
+                    k %= len(names)
+                    if dims[k] != dims[i] or lows[i] == highs[i] == lows[k] == highs[k]:
+                        continue
+                    other = np.frombuffer(centres[k], np.float64)
+                    if mine @ other < least(radii[i] + radii[k]):
+                        continue
+                    own = own or read(i)
+                    roots, y = own if k == i else read(k)
+                    x_in, y_in = own[1] @ other >= least(radii[k]), y @ mine >= least(radii[i])
+                    link_blocks(own[1][x_in], own[0][x_in], y[y_in], roots[y_in], threshold, merged)
+                links = np.array(merged.links, np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+
+    return link
+
+
+def _remaining(own: DataFrame, dealt: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between the roots of components, as many as connect all that vectors of at least the cosine connect. roots: (node, root), settled, of what is linked already."""
+    spark = own.sparkSession
+    folder = f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}"
+    rows = own.join(small(roots.withColumnsRenamed({"node": "vec_id"})), "vec_id", "left").withColumn("root", F.coalesce("root", "vec_id"))
+    rows = rows.join(dealt.select(F.col("vec_id").alias("root"), F.col("cells")[0].alias("home")), "root")
+    ordered = rows.orderBy("home", "root", "vec_id").select("root", "dim", "v")
+    kinds = "name string, dim int, n int, centre binary, radius double, low bigint, high bigint"
+    found = settle(ordered.mapInArrow(_block_writer(folder, dealt.count()), kinds)).orderBy("name").collect()
+    g = len(found)
+    parts = max(1, -(-(g // 2 + 1) // PARTNERS))
+    shared = spark.sparkContext.broadcast(tuple(list(column) for column in zip(*found)) or ([],) * 7)
+    return spark.range(0, g * parts, 1, max(1, min(g * parts, 1 << 16))).mapInArrow(_linker(folder, shared, threshold, parts), "a bigint, b bigint")
+
+
 def _tiled(placed: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
     """placed with tile and side: small cells as they are; of a large one, the members of its largest component as shares, and every other member with each of these, and with each other."""
     large = placed.join(small(sizes.select("cell")), "cell")
