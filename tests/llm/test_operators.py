@@ -3,8 +3,10 @@
 import itertools
 import math
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from textloom.llm import bpe, embedding_dedup, html_extract, license_scan, lm_score, toxicity, warc
@@ -238,6 +240,33 @@ def test_blocks_of_vectors_against_brute_force():
     assert merged.labels(np.arange(800)).tolist() == want and len(merged.links) == 800 - len(set(want))
 
 
+def test_replay_holds_few_bytes_for_each_byte_of_words():
+    letters = np.frombuffer(b"etaoinshrdlu", np.uint8)
+    rng = np.random.default_rng(8)
+    distinct = pa.array([b" " + letters[rng.integers(0, 12, k)].tobytes() for k in rng.integers(3, 15, 60000).tolist()], pa.large_binary())
+    replay = bpe.Replay(bpe.load_vocabulary())
+    tracemalloc.start()
+    tokens, ranges = replay.tokens(distinct)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    pieces = replay.v.pieces
+    assert [b"".join(pieces[t] for t in tokens[a:b].tolist()) for a, b in zip(ranges[:200], ranges[1:201])] == distinct[:200].to_pylist()
+    assert peak <= 45 * sum(map(len, distinct.to_pylist()))  # 77 when every place took 8 bytes
+
+
+def test_parts_of_a_shard_share_their_words():
+    replay = bpe.Replay(bpe.load_vocabulary())
+    for texts in ([["a b a"], [None, ""], ["b c", "a"]], [[""], ["c b a a"]], [[None], [""]], [["b"]]):
+        shard = [pa.RecordBatch.from_arrays([pa.array(t, pa.string())], names=["text"]) for t in texts]
+        index, within, tokens, ranges = bpe._coded(shard, replay)
+        assert len(index) == len(within) == len(shard)
+        for own, places, t in zip(index, within, texts):
+            ids, begins = bpe._gather(tokens, ranges, own)
+            bounds = begins[places]
+            got = [b"".join(replay.v.pieces[k] for k in ids[a:b].tolist()).decode() for a, b in zip(bounds, bounds[1:])]
+            assert got == [x or "" for x in t]
+
+
 def test_nearest_examples_against_brute_force():
     rng = np.random.default_rng(2)
     n, m = 700, 900

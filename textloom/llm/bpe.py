@@ -23,12 +23,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.text import CHUNK_CHARS, chunks
+from textloom.llm.text import CHUNK_CHARS, chunks, forget, give_back
 
 #: Where the vocabulary lies by default; a parameter everywhere.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Bytes of text whose distinct words are replayed together.
 SHARD_BYTES = 8 << 20
+#: Positions whose pairs are looked up at once.
+LOOKUP = 1 << 17
 
 LETTER, NUMBER, SPACE, OTHER = range(4)
 _classes: list[np.ndarray] = []
@@ -147,7 +149,7 @@ class Replay:
         self.pairs, self.rank_of = np.append(pair[order][keep], np.int64(2**62)), np.append(order[keep], -1)
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a << 32 | b
+        key = a.astype(np.int64) << 32 | b
         at = np.searchsorted(self.pairs, key)
         return np.where(self.pairs[at] == key, self.rank_of[at], -1)
 
@@ -174,14 +176,18 @@ class Replay:
         raw = np.frombuffer(words.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
         bounds = bounds - bounds[0]
         n = len(raw)
-        symbol = np.append(self.v.first[raw], -1)  # at n stands what follows the last symbol of a word
-        following, previous = np.arange(1, n + 2), np.arange(-1, n)
+        # two workers and a JVM share an executor's memory, so places are as narrow as they can be
+        place = np.int32 if n < 2**31 - 2 else np.int64
+        symbol = np.full(n + 1, -1, np.int32)  # at n stands what follows the last symbol of a word
+        symbol[:n] = self.v.first.astype(np.int32)[raw]
+        following, previous = np.arange(1, n + 2, dtype=place), np.arange(-1, n, dtype=place)
         following[bounds[1:] - 1] = n
         previous[bounds[:-1]] = n
         following[n] = previous[n] = n
         pending: list = [None] * len(self.v.left)
-        inner = np.flatnonzero(following[:n] < n)
-        self._enter(pending, inner, self._ranks(symbol[inner], symbol[inner + 1]))
+        for begin in range(0, n, LOOKUP):
+            inner = (begin + np.flatnonzero(following[begin : min(n, begin + LOOKUP)] < n)).astype(place)
+            self._enter(pending, inner, self._ranks(symbol[inner], symbol[inner + 1]))
         left, right, merged = self.v.left.tolist(), self.v.right.tolist(), self.v.merged.tolist()
         for r in range(len(pending)):
             if pending[r] is None:
@@ -208,9 +214,9 @@ class Replay:
             touched = np.unique(np.concatenate([before, onward]))
             if len(touched):
                 self._enter(pending, touched, self._ranks(symbol[touched], symbol[following[touched]]))
-        alive = symbol[:n] >= 0
-        counts = np.concatenate([[0], np.cumsum(alive)])
-        return symbol[:n][alive].astype(np.int32), counts[bounds]
+        del pending, following, previous
+        alive = np.flatnonzero(symbol[:n] >= 0)
+        return symbol[alive], np.searchsorted(alive, bounds)
 
 
 def _gather(values: np.ndarray, ranges: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,19 +253,29 @@ def joined(pieces: pa.Array, tokens: np.ndarray, ranges: np.ndarray) -> pa.Large
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ranges) - 1, [None, pa.py_buffer(bounds[ranges]), parts.buffers()[2]])
 
 
+def _coded(shard: list[pa.RecordBatch], replay: Replay) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
+    """By part of the shard, which distinct word each word is and the range of words of each text; and the distinct words' tokens and ranges."""
+    words, texts = zip(*(split_words(part.column("text")) for part in shard))
+    # the chunks get one dictionary; the words themselves are gone before the replay
+    coded = pa.chunked_array(words, pa.large_binary()).dictionary_encode()
+    flat = np.concatenate([np.asarray(c.indices) for c in coded.chunks] or [np.zeros(0, np.int32)])
+    index = np.split(flat, np.cumsum([len(w) for w in words])[:-1])
+    distinct = coded.chunk(0).dictionary if coded.num_chunks else pa.array([], pa.large_binary())
+    del words, coded
+    return index, texts, *replay.tokens(distinct)
+
+
 def _encoder(vocabulary, shard_bytes: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         replay = Replay(vocabulary.value)
         pieces = _pieces(vocabulary.value)
         for shard in _shards(batches, shard_bytes):
-            split = [split_words(part.column("text")) for part in shard]
-            coded = pa.concat_arrays([w for w, _ in split]).dictionary_encode()
-            tokens, ranges = replay.tokens(coded.dictionary)
-            index, done = np.asarray(coded.indices), 0
-            for part, (own, texts) in zip(shard, split):
-                ids, begins = _gather(tokens, ranges, index[done : done + len(own)])
-                done += len(own)
-                bounds = begins[texts]
+            index, texts, tokens, ranges = _coded(shard, replay)
+            give_back()
+            for part, own, within in zip(shard, index, texts):
+                ids, begins = _gather(tokens, ranges, own)
+                bounds = begins[within]
                 text = part.column("text")
                 back = joined(pieces, ids, bounds)
                 same = pc.equal(back, text.cast(pa.large_binary()))

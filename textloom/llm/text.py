@@ -173,6 +173,14 @@ def give_back() -> None:
         _libc[0](0)
 
 
+def forget() -> None:
+    """Drop the tables for hashing words, which grow again on demand; a worker that earlier stages used may not need them any more."""
+    _tables.clear()
+    for powers in (_char_powers, _gram_powers):
+        powers.up = powers.down = np.ones(1, _U)
+    give_back()
+
+
 def chunks(batch: pa.RecordBatch, column: str, size: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of a batch with about ``size`` bytes of text each, one row at least."""
     texts = batch.column(column)
