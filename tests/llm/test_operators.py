@@ -14,6 +14,7 @@ from textloom.llm import queries as Q
 from textloom.llm.decontaminate import contained_items, drop_contaminated
 from textloom.llm.near_dedup import drop_near_duplicates, near_duplicates
 from textloom.llm.suffix_dedup import drop_repeats, repeated_passages
+from textloom.llm.text import word_hash
 from textloom.llm.toxicity import drop_toxic, score_toxicity
 
 SF = "/root/testdata/sf0.001"
@@ -327,6 +328,34 @@ def test_nearest_examples_against_brute_force():
             assert found.tolist() == fit and np.allclose(near, scores[q, fit])
 
 
+def test_a_query_reads_each_posting_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    n, m = 1500, 3000
+    held = rng.random((n, m)) < 1 / np.sqrt(np.arange(1, m + 1))
+    rows, terms = np.nonzero(held)
+    index = toxicity.BlockMaxIndex(rows, terms, np.ones(len(rows)), n, m)
+    postings = np.where(index.column < 0, held.sum(0), 0)
+    owner, asked = np.nonzero(held[:100])
+    read, ranges = [], toxicity._ranges
+    monkeypatch.setattr(toxicity, "_ranges", lambda begins, ends: read.append(int((ends - begins).sum())) or ranges(begins, ends))
+    assert all(len(found) == 200 for found, _ in index.nearest(np.searchsorted(owner, np.arange(101)), asked, np.ones(len(asked)), 200))
+    assert 0 < sum(read) <= postings[asked].sum()  # 1.4 times as many when blocks had bounds
+
+
+def test_places_of_terms_against_a_recount():
+    rng = np.random.default_rng(5)
+    vocabulary = np.unique(np.concatenate([rng.integers(0, 1 << 64, 500, np.uint64), np.arange(40, dtype=np.uint64), np.uint64((1 << 64) - 1) - np.arange(3, dtype=np.uint64)]))
+    sought = np.concatenate([rng.permutation(vocabulary), rng.integers(0, 1 << 64, 500, np.uint64), np.arange(35, 50, dtype=np.uint64)])
+    at = {int(v): i for i, v in enumerate(vocabulary)}
+    assert toxicity.Places(vocabulary).of(sought).tolist() == [at.get(int(v), -1) for v in sought]
+    assert toxicity.Places(vocabulary[:0]).of(sought[:3]).tolist() == [-1] * 3
+    texts = ["b a b c b", None, "", "zz", "a a É é", "b"]
+    known = np.sort(np.array([word_hash(w) for w in ("a", "b", "é")], np.uint64))
+    offsets, terms, counts = toxicity._known(pa.array(texts), toxicity.Places(known))
+    got = [{int(known[t]): int(c) for t, c in zip(terms[x:y], counts[x:y])} for x, y in zip(offsets, offsets[1:])]
+    assert got == [{word_hash(w): c for w, c in bag} for bag in ([("a", 1), ("b", 3)], [], [], [], [("a", 2), ("é", 2)], [("b", 1)])]
+
+
 def test_evidence_is_the_nearest_of_all_labelled_documents(spark):
     docs = [(i, prose(i, 60)) for i in range(120)] + [(200, None), (201, "")]
     labels = spark.createDataFrame([(i, 1, i % 3 == 0) for i in range(0, 120, 2)], "doc_id bigint, quality int, toxic boolean")
