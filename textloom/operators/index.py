@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import analysis as A
+from textloom.functions.posted import posted_rows, repeated
 
 
 def tokens_of(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -14,8 +15,8 @@ def tokens_of(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(term, key, occs, positions): the inverted index."""
-    each = tokens_of(docs, text, key).select(key, F.posexplode("tokens").alias("pos", "term"))
-    return each.groupBy("term", key).agg(F.count("*").alias("occs"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    rows = posted_rows(docs, key, F.lower(text), repeated(docs, key))
+    return rows.select("term", key, F.col("occs").cast("bigint").alias("occs"), "positions")
 
 
 def term_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
