@@ -1,14 +1,16 @@
 """The stored index: postings, terms, vectors and sort values as Parquet, and search that reads only what a query names.
 
-Postings lie in a folder for each index, ordered by term over all files, so
-that a term's rows are found by the files' own statistics; each carries its
-document's length, so that ranking needs no join. A term of very many
-documents spans several files, as the order goes on by document.
+Postings lie in a folder for each index, in segments of some megabytes of
+text. A segment has whole documents and is ordered by term, so that a term's
+rows are found by the files' own statistics; each carries its document's
+length, so that ranking needs no join. Building shuffles the texts, never the
+postings. A document's vector is one row.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -17,25 +19,48 @@ from pyspark.sql import functions as F
 
 from textloom.cql.parser import CQLError, Query, parse
 from textloom.functions import analysis as A
+from textloom.functions.posted import cosines, posted_rows, posted_vectors, repeated, vectors_of
 from textloom.operators.search import Index, is_masked, mask_test, run, sorted_by, tokens_of
-from textloom.storage import placed, shared_dir, small
+from textloom.storage import fits, placed, shared_dir
 
+#: Bytes of text, and rows of other columns, that a segment of postings is made of.
+SEGMENT_BYTES, SEGMENT_ROWS = 16 << 20, 1 << 20
 
-def _postings(docs: DataFrame, name: str, index: Index, key: str) -> DataFrame:
-    """(index_id, term, number, high, key, occs, positions, length) of one index."""
+
+def _words(index: Index) -> Column:
+    """A words index's lower-cased text, or its tokens where they are stems."""
+    return tokens_of(index) if index.stem else F.lower(F.col(f"`{index.column}`"))
+
+
+def _folder(path: str, table: str, name: str) -> str:
+    """The folder of an index in a table, named as Spark names partitions."""
+    return f"{path}/{table}/index_id=" + re.sub(r"[\x00-\x1f\x7f\"#%'*/:=?\\{\[\]^]", lambda m: f"%{ord(m[0]):02X}", name)
+
+
+def _postings(docs: DataFrame, index: Index, key: str, keys: DataFrame | None) -> DataFrame:
+    """(term, number, high, key, occs, positions, length) of one index."""
     none = F.lit(None)
-    row = [F.lit(name).alias("index_id")]
     if index.kind == "words":
-        each = docs.select(F.col(f"`{key}`").alias(key), tokens_of(index).alias("tokens")).select(key, F.size("tokens").alias("length"), F.posexplode("tokens").alias("pos", "term"))
-        found = each.groupBy("term", key).agg(F.count("*").cast("int").alias("occs"), F.array_sort(F.collect_list("pos")).alias("positions"), F.max("length").alias("length"))
-        return found.select(*row, "term", none.cast("double").alias("number"), none.cast("string").alias("high"), key, "occs", "positions", "length")
+        found = posted_rows(docs, key, _words(index), keys)
+        return found.select("term", none.cast("double").alias("number"), none.cast("string").alias("high"), key, "occs", "positions", "length")
     value = F.col(f"`{index.column}`")
     found = docs.where(value.isNotNull())
     term = none.cast("string") if index.kind == "number" else value.cast("string")
     number = value.cast("double") if index.kind == "number" else none.cast("double")
     high = F.col(f"`{index.high}`").cast("string") if index.kind == "range" else none.cast("string")
     places = F.array(F.lit(0))
-    return found.select(*row, term.alias("term"), number.alias("number"), high.alias("high"), F.col(f"`{key}`").alias(key), F.lit(1).alias("occs"), places.alias("positions"), F.lit(1).alias("length"))
+    return found.select(term.alias("term"), number.alias("number"), high.alias("high"), F.col(f"`{key}`").alias(key), F.lit(1).alias("occs"), places.alias("positions"), F.lit(1).alias("length"))
+
+
+def _sort_values(rows: DataFrame, key: str) -> DataFrame:
+    """(key, low, high, number): the ends of each key's values."""
+    return rows.groupBy(key).agg(F.min("term").alias("low"), F.max(F.coalesce("high", "term")).alias("high"), F.min("number").alias("number"))
+
+
+def _write_terms(stored: DataFrame, path: str) -> None:
+    """The terms of the postings, numbered in order of index and term."""
+    terms = stored.where("term is not null").groupBy("index_id", "term").agg(F.count("*").alias("n_recs"), F.sum("occs").alias("n_occs"))
+    placed(terms, "index_id", "term", name="term_id").withColumn("term_id", F.col("term_id") - 1).sortWithinPartitions("index_id", "term").write.mode("overwrite").parquet(f"{path}/terms")
 
 
 def write_index(docs: DataFrame, path: str, indexes: dict[str, Index], key: str = "doc_id", min_support: int = 1) -> StoredIndex:
@@ -44,35 +69,41 @@ def write_index(docs: DataFrame, path: str, indexes: dict[str, Index], key: str
     Rows with a null key aren't indexed. ``min_support``: terms of words indexes
     in fewer documents are left out, and get no term_id.
     """
-    spark = docs.sparkSession
     docs = docs.where(F.col(f"`{key}`").isNotNull())
-    rows = None
-    for name, index in indexes.items():
-        own = _postings(docs, name, index, key)
-        rows = own if rows is None else rows.unionByName(own)
-    if min_support > 1:
-        often = rows.groupBy("index_id", "term").agg(F.count("*").alias("n")).where(F.col("n") >= min_support).drop("n")
-        rows = rows.join(often, ["index_id", "term"], "left_semi").unionByName(rows.where("term is null"))
-    order = ["index_id", "term", "number", key]
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("index_id").parquet(f"{path}/postings")
-    index = StoredIndex(spark, path, indexes, key, dict(docs.dtypes)[key])
-    stored = index.table("postings")
-    terms = stored.where("term is not null").groupBy("index_id", "term").agg(F.count("*").alias("n_recs"), F.sum("occs").alias("n_occs"))
-    placed(terms, "index_id", "term", name="term_id").withColumn("term_id", F.col("term_id") - 1).sortWithinPartitions("index_id", "term").write.mode("overwrite").parquet(f"{path}/terms")
-    lengths = [F.sum(F.size(tokens_of(x)).cast("bigint") if x.kind == "words" else F.col(f"`{x.column}`").isNotNull().cast("bigint")).alias(f"{n}") for n, x in indexes.items()]
-    docs.agg(F.count("*").alias("n_docs"), *(F.coalesce(c, F.lit(0)).alias(f"words {n}") for c, n in zip(lengths, indexes))).write.mode("overwrite").parquet(f"{path}/stats")
-    values = stored.groupBy("index_id", key).agg(F.min("term").alias("low"), F.max(F.coalesce("high", "term")).alias("high"), F.min("number").alias("number"))
-    values.repartitionByRange("index_id", key).sortWithinPartitions("index_id", key).write.mode("overwrite").parquet(f"{path}/sort_values")
-    words = [n for n, x in indexes.items() if x.kind == "words"]
-    known = index.table("terms").select("index_id", "term", "term_id")
-    vectors = stored.where(F.col("index_id").isin(words)).select("index_id", key, "term", "occs").join(known, ["index_id", "term"])
-    vectors.repartitionByRange("index_id", key, "term_id").sortWithinPartitions("index_id", key, "term_id").select("index_id", key, "term_id", "term", "occs").write.mode("overwrite").parquet(f"{path}/vectors")
+    opened = lambda: StoredIndex(docs.sparkSession, path, indexes, key, dict(docs.dtypes)[key])  # noqa: E731; its tables list the files that there are
+    columns = {x.column for x in indexes.values() if x.kind == "words"}
+    bytes_of = [F.coalesce(F.sum(F.octet_length(F.col(f"`{c}`").cast("string")).cast("bigint")), F.lit(0)).alias(f"bytes {c}") for c in columns]
+    counted = [F.count(F.col(f"`{x.column}`")).alias(f"words {n}") for n, x in indexes.items() if x.kind != "words"]
+    sizes = docs.agg(F.count("*").alias("n_docs"), *bytes_of, *counted).first().asDict()
+    keys = repeated(docs, key)
+    for name, x in indexes.items():
+        words = x.kind == "words"
+        n = 1 + (sizes[f"bytes {x.column}"] // SEGMENT_BYTES if words else sizes["n_docs"] // SEGMENT_ROWS)
+        own = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys((key, x.column, x.high)) if c)).repartition(n, F.col(f"`{key}`"))
+        rows = _postings(own, x, key, keys)
+        if min_support > 1:
+            often = rows.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= min_support).drop("n")
+            rows = rows.join(often, "term", "left_semi").unionByName(rows.where("term is null")).select(rows.columns)
+        rows.sortWithinPartitions("term", "number", key).write.mode("overwrite").parquet(_folder(path, "postings", name))
+        if words:
+            vectors = posted_vectors(own, key, _words(x), keys) if min_support <= 1 else vectors_of(opened().postings(name), key)
+            vectors.sortWithinPartitions(key).write.mode("overwrite").parquet(_folder(path, "vectors", name))
+            vectors = opened().vectors(name)
+            values = vectors.select(key, F.element_at("terms", 1).alias("low"), F.element_at("terms", -1).alias("high"), F.lit(None).cast("double").alias("number"))
+            counts = vectors.agg(F.sum("words")) if min_support <= 1 else own.agg(F.sum(F.size(tokens_of(x)).cast("bigint")))
+            sizes[f"words {name}"] = counts.first()[0] or 0
+        else:
+            values = _sort_values(rows, key)
+        values.sortWithinPartitions(key).write.mode("overwrite").parquet(_folder(path, "sort_values", name))
+    index = opened()
+    _write_terms(index.table("postings"), path)
+    index._write_stats({"n_docs": sizes["n_docs"]} | {f"words {n}": sizes[f"words {n}"] for n in indexes})
     return index
 
 
 @dataclass
 class StoredIndex:
-    """The tables of an index: postings, terms (with dense term_id in order of index and term), stats, sort_values and vectors."""
+    """The tables of an index: postings, terms (with dense term_id in order of index and term), stats, sort_values and vectors (a row for each document)."""
 
     spark: SparkSession
     path: str
@@ -89,13 +120,23 @@ class StoredIndex:
             schema = {
                 "postings": f"term string, number double, high string, {self.key} {self.kind}, occs int, positions array<int>, length int, index_id string",
                 "terms": "index_id string, term string, n_recs bigint, n_occs bigint, term_id bigint",
-                "sort_values": f"index_id string, {self.key} {self.kind}, low string, high string, number double",
-                "vectors": f"index_id string, {self.key} {self.kind}, term_id bigint, term string, occs int",
+                "sort_values": f"{self.key} {self.kind}, low string, high string, number double, index_id string",
+                "vectors": f"{self.key} {self.kind}, terms array<string>, occs array<int>, words int, index_id string",
                 "stats": "n_docs bigint, " + ", ".join(f"`words {n}` bigint" for n in self.indexes),
             }[name]  # tables without a row have no file that tells it
-            self._tables[name] = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+            if name == "vectors" and not any(x.kind == "words" for x in self.indexes.values()):
+                rows = self.spark.createDataFrame([], schema)
+            else:
+                rows = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+            if name == "vectors":  # a row for each term
+                self._vectors = rows
+                rows = rows.select("index_id", self.key, F.inline(F.arrays_zip(F.col("terms").alias("term"), "occs")).alias("term", "occs"))
+            self._tables[name] = rows
         return self._tables[name]
 
+    def _write_stats(self, row: dict[str, int]) -> None:
+        self.spark.createDataFrame([tuple(row.values())], ", ".join(f"`{c}` bigint" for c in row)).write.mode("overwrite").parquet(f"{self.path}/stats")
+
     @property
     def stats(self) -> dict[str, int]:
         """n_docs, and the words of each index: one row."""
@@ -106,6 +147,11 @@ class StoredIndex:
     def postings(self, name: str) -> DataFrame:
         return self.table("postings").where(F.col("index_id") == name)
 
+    def vectors(self, name: str) -> DataFrame:
+        """(key, terms, occs, words): each document's distinct terms in order, and its number of words."""
+        self.table("vectors")
+        return self._vectors.where(F.col("index_id") == name).drop("index_id")
+
     def terms(self, name: str) -> DataFrame:
         return self.table("terms").where(F.col("index_id") == name)
 
@@ -121,7 +167,7 @@ class StoredIndex:
         """(key, term_id, term, occs) of some documents, in order of term_id; least, most: bounds of a term's occurrences in the document."""
         rows = self.table("vectors").where((F.col("index_id") == name) & F.col(self.key).isin(ids) & (F.col("occs") >= least))
         rows = rows if most is None else rows.where(F.col("occs") <= most)
-        return rows.select(self.key, "term_id", "term", "occs")
+        return rows.join(self.terms(name).select("term", "term_id"), "term").select(self.key, "term_id", "term", "occs").orderBy("term_id", self.key)
 
     def fetch_prox_vector(self, name: str, ids: list) -> DataFrame:
         """(key, words): the terms of each document by place."""
@@ -154,12 +200,13 @@ class StoredIndex:
 
     def facets(self, name: str, hits: DataFrame, n: int = 0) -> DataFrame:
         """(term, term_id, n_recs, n_occs) of a set of documents, by falling n_recs and then term_id."""
-        rows = self.table("vectors").where(F.col("index_id") == name).join(hits.select(self.key), self.key, "left_semi") if self.indexes[name].kind == "words" else None
-        if rows is None:
-            found = self.postings(name).join(hits.select(self.key), self.key, "left_semi").groupBy("term").agg(F.count("*").alias("n_recs"), F.sum("occs").alias("n_occs"))
-            found = found.join(self.terms(name).select("term", "term_id"), "term")
+        if self.indexes[name].kind == "words":
+            held = self.vectors(name).join(hits.select(self.key), self.key, "left_semi")
+            rows = held.select(F.inline(F.arrays_zip(F.col("terms").alias("term"), "occs")).alias("term", "occs"))
         else:
-            found = rows.groupBy("term", "term_id").agg(F.count("*").alias("n_recs"), F.sum("occs").alias("n_occs"))
+            rows = self.postings(name).join(hits.select(self.key), self.key, "left_semi")
+        found = rows.groupBy("term").agg(F.count("*").alias("n_recs"), F.sum("occs").alias("n_occs"))
+        found = found.join(self.terms(name).select("term", "term_id"), "term")
         ordered = found.select("term", "term_id", "n_recs", "n_occs").orderBy(F.desc("n_recs"), "term_id")
         return ordered.limit(n) if n else ordered
 
@@ -197,36 +244,31 @@ class StoredIndex:
 
     def similarity(self, name: str, pairs: DataFrame) -> DataFrame:
         """(a, b, similarity): the cosine of two documents' term vectors, for pairs of keys."""
-        v = self.table("vectors").where(F.col("index_id") == name).select(self.key, "term_id", F.col("occs").cast("double").alias("x"))
-        left = pairs.select("a", "b").join(v.withColumnRenamed(self.key, "a"), "a")
-        dots = left.join(v.select(F.col(self.key).alias("b"), "term_id", F.col("x").alias("y")), ["b", "term_id"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-        sizes = v.groupBy(self.key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
-        both = pairs.select("a", "b").join(dots, ["a", "b"], "left").join(sizes.select(F.col(self.key).alias("a"), F.col("size").alias("sa")), "a").join(sizes.select(F.col(self.key).alias("b"), F.col("size").alias("sb")), "b")
-        return both.select("a", "b", (F.coalesce("dot", F.lit(0.0)) / (F.col("sa") * F.col("sb"))).alias("similarity"))
+        return cosines(pairs, self.vectors(name), self.key)
 
     # change
 
     def without(self, ids: DataFrame, path: str) -> StoredIndex:
         """A new index under path without some documents (a column named as the key)."""
-        gone = small(ids.select(self.key).distinct())
+        gone = ids.select(self.key).distinct()
+        in_place = fits(gone)  # then what is left stays in its order
+        gone = F.broadcast(gone) if in_place else gone
         left = StoredIndex(self.spark, path, self.indexes, self.key, self.kind)
-        order = ["index_id", "term", "number", self.key]
-        kept = self.table("postings").join(gone, self.key, "left_anti")
-        kept.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("index_id").parquet(f"{path}/postings")
+        orders = {"postings": ["term", "number", self.key], "sort_values": [self.key], "vectors": [self.key]}
+        for name, x in self.indexes.items():
+            own = {"postings": self.postings(name), "sort_values": self.table("sort_values").where(F.col("index_id") == name)}
+            own |= {"vectors": self.vectors(name)} if x.kind == "words" else {}
+            for table, rows in own.items():
+                rows = rows.drop("index_id").join(gone, self.key, "left_anti")
+                rows = rows if in_place else rows.sortWithinPartitions(*orders[table])
+                rows.write.mode("overwrite").parquet(_folder(path, table, name))
         stored = left.table("postings")
-        terms = stored.where("term is not null").groupBy("index_id", "term").agg(F.count("*").alias("n_recs"), F.sum("occs").alias("n_occs"))
-        placed(terms, "index_id", "term", name="term_id").withColumn("term_id", F.col("term_id") - 1).write.mode("overwrite").parquet(f"{path}/terms")
-        for table in ("sort_values", "vectors"):
-            rows = self.table(table).join(gone, self.key, "left_anti")
-            if table == "vectors":
-                rows = rows.drop("term_id").join(left.table("terms").select("index_id", "term", "term_id"), ["index_id", "term"])
-            rows.repartitionByRange("index_id", self.key).sortWithinPartitions("index_id", self.key).write.mode("overwrite").parquet(f"{path}/{table}")
+        _write_terms(stored, path)
         lengths = stored.groupBy("index_id").agg(F.sum("occs").alias("n")).collect()  # a row for each index
         here = {r["index_id"]: r["n"] for r in lengths}
         # documents without any word count too
         gone_docs = self.table("sort_values").join(gone, self.key, "left_semi").select(self.key).distinct().count()
-        row = {"n_docs": self.stats["n_docs"] - gone_docs} | {f"words {n}": here.get(n, 0) for n in self.indexes}
-        self.spark.createDataFrame([tuple(row.values())], ", ".join(f"`{c}` bigint" for c in row)).write.mode("overwrite").parquet(f"{path}/stats")
+        left._write_stats({"n_docs": self.stats["n_docs"] - gone_docs} | {f"words {n}": here.get(n, 0) for n in self.indexes})
         return left
 
 

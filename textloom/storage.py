@@ -30,14 +30,18 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df, marked for broadcast if it is measured to fit into the limit; else as it is, for a shuffled join."""
+def fits(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether df is measured to have at most so many bytes."""
     width = F.lit(24 + 16 * len(df.columns))
     for name, kind in df.dtypes:
         if kind in ("string", "binary"):
             width = width + F.coalesce(F.octet_length(f"`{name}`"), F.lit(0))
-    size = df.agg(F.sum(width.cast("bigint"))).first()[0] or 0
-    return F.broadcast(df) if size <= limit else df
+    return (df.agg(F.sum(width.cast("bigint"))).first()[0] or 0) <= limit
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcast if it is measured to fit into the limit; else as it is, for a shuffled join."""
+    return F.broadcast(df) if fits(df, limit) else df
 
 
 def placed(df: DataFrame, *order: Column | str, name: str = "place") -> DataFrame:
