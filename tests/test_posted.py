@@ -1,6 +1,9 @@
 """Postings and vectors that are made where the documents lie: against brute force, and what building an index shuffles."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,3 +106,12 @@ def test_repeated_and_null_keys_in_a_stored_index(spark, docs, tmp_path):
     assert {(r.doc_id, r.term): r.positions for r in index.postings("text").collect()} == want
     assert {(r.doc_id, r.term): r.occs for r in index.table("vectors").collect()} == {k: len(v) for k, v in want.items()}
     assert index.stats == {"n_docs": 7, "words text": sum(map(len, want.values()))}
+
+
+def test_cosines_of_repeated_pairs_and_no_join_by_term(spark, many, built):
+    bags = {r.doc_id: Counter(re.findall(r"\d+", r.text)) for r in many.collect()}
+    pairs = [(a, b) for a in range(0, 600, 60) for b in (a, a + 1, 599 - a)] * 2
+    cosine = lambda x, y: sum(n * y[t] for t, n in x.items()) / math.sqrt(sum(n * n for n in x.values())) / math.sqrt(sum(n * n for n in y.values()))
+    rows = built[0].similarity("text", spark.createDataFrame(pairs, "a bigint, b bigint")).collect()
+    assert len(rows) == len(set(pairs))
+    assert {(r.a, r.b): r.similarity for r in rows} == pytest.approx({(a, b): cosine(bags[a], bags[b]) for a, b in pairs})
