@@ -57,9 +57,13 @@ def _sort_values(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min("term").alias("low"), F.max(F.coalesce("high", "term")).alias("high"), F.min("number").alias("number"))
 
 
-def _write_terms(stored: DataFrame, path: str) -> None:
-    """The terms of the postings, numbered in order of index and term."""
-    terms = stored.where("term is not null").groupBy("index_id", "term").agg(F.count("*").alias("n_recs"), F.sum("occs").alias("n_occs"))
+def _counted(rows: DataFrame) -> DataFrame:
+    """(index_id, term, n_recs, n_occs) of (index_id, term, occs)."""
+    return rows.where("term is not null").groupBy("index_id", "term").agg(F.count("*").alias("n_recs"), F.sum("occs").alias("n_occs"))
+
+
+def _write_terms(terms: DataFrame, path: str) -> None:
+    """Terms, numbered in order of index and term."""
     placed(terms, "index_id", "term", name="term_id").withColumn("term_id", F.col("term_id") - 1).sortWithinPartitions("index_id", "term").write.mode("overwrite").parquet(f"{path}/terms")
 
 
@@ -96,7 +100,7 @@ def write_index(docs: DataFrame, path: str, indexes: dict[str, Index], key: str
             values = _sort_values(rows, key)
         values.sortWithinPartitions(key).write.mode("overwrite").parquet(_folder(path, "sort_values", name))
     index = opened()
-    _write_terms(index.table("postings"), path)
+    _write_terms(_counted(index.table("postings")), path)
     index._write_stats({"n_docs": sizes["n_docs"]} | {f"words {n}": sizes[f"words {n}"] for n in indexes})
     return index
 
@@ -262,13 +266,20 @@ class StoredIndex:
                 rows = rows.drop("index_id").join(gone, self.key, "left_anti")
                 rows = rows if in_place else rows.sortWithinPartitions(*orders[table])
                 rows.write.mode("overwrite").parquet(_folder(path, table, name))
-        stored = left.table("postings")
-        _write_terms(stored, path)
-        lengths = stored.groupBy("index_id").agg(F.sum("occs").alias("n")).collect()  # a row for each index
-        here = {r["index_id"]: r["n"] for r in lengths}
+        # what goes is counted and taken off, so that what stays isn't read again
+        words = [n for n, x in self.indexes.items() if x.kind == "words"]
+        values = self.table("postings").where(~F.col("index_id").isin(words)).select("index_id", "term", "occs", self.key)
+        self.table("vectors")
+        vectors = self._vectors.join(gone, self.key, "left_semi").select("index_id", F.inline(F.arrays_zip(F.col("terms").alias("term"), "occs")).alias("term", "occs"))
+        lost = vectors.unionByName(values.join(gone, self.key, "left_semi").drop(self.key))
+        less = _counted(lost).select("index_id", "term", (-F.col("n_recs")).alias("n_recs"), (-F.col("n_occs")).alias("n_occs"))
+        terms = self.table("terms").drop("term_id").unionByName(less).groupBy("index_id", "term").agg(F.sum("n_recs").alias("n_recs"), F.sum("n_occs").alias("n_occs"))
+        _write_terms(terms.where("n_recs > 0"), path)
+        lengths = lost.groupBy("index_id").agg(F.sum("occs").alias("n")).collect()  # a row for each index
+        fewer = {r["index_id"]: r["n"] for r in lengths}
         # documents without any word count too
         gone_docs = self.table("sort_values").join(gone, self.key, "left_semi").select(self.key).distinct().count()
-        left._write_stats({"n_docs": self.stats["n_docs"] - gone_docs} | {f"words {n}": here.get(n, 0) for n in self.indexes})
+        left._write_stats({"n_docs": self.stats["n_docs"] - gone_docs} | {f"words {n}": self.stats[f"words {n}"] - fewer.get(n, 0) for n in self.indexes})
         return left
 
 
